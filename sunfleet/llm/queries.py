@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sunfleet.llm import chat
+from sunfleet.llm import chat, licenses
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op4_chat_formatting": chat.op4_query,
+        "op8_license_scans": licenses.op8_query,
     }
 
 
