@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sunfleet.llm import chat, licenses
+from sunfleet.llm import chat, licenses, neardup
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op4_chat_formatting": chat.op4_query,
         "op8_license_scans": licenses.op8_query,
+        "op10_minhash_near_dedup": neardup.op10_query,
     }
 
 
