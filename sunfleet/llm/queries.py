@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sunfleet.llm import chat, licenses, neardup
+from sunfleet.llm import chat, licenses, neardup, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op3_toxicity": toxicity.op3_query,
         "op4_chat_formatting": chat.op4_query,
         "op8_license_scans": licenses.op8_query,
         "op10_minhash_near_dedup": neardup.op10_query,
