@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sunfleet.llm import chat, licenses, neardup, packing, toxicity
+from sunfleet.llm import chat, decontamination, licenses, neardup, packing, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op3_toxicity": toxicity.op3_query,
         "op4_chat_formatting": chat.op4_query,
+        "op6_decontamination": decontamination.op6_query,
         "op7_best_fit_packing": packing.op7_query,
         "op8_license_scans": licenses.op8_query,
         "op10_minhash_near_dedup": neardup.op10_query,
