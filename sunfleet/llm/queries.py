@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sunfleet.llm import chat, decontamination, licenses, neardup, packing, toxicity
+from sunfleet.llm import chat, decontamination, licenses, media, neardup, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_warc": warc.op2_query,
         "op3_toxicity": toxicity.op3_query,
         "op4_chat_formatting": chat.op4_query,
+        "op5_media_columns": media.op5_query,
         "op6_decontamination": decontamination.op6_query,
         "op7_best_fit_packing": packing.op7_query,
         "op8_license_scans": licenses.op8_query,
@@ -20,5 +22,6 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": warc.OP2_SQL,
         "op4_chat_formatting": chat.OP4_SQL,
     }
