@@ -194,7 +194,7 @@ WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
 ), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_page FROM p)
 SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     (1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31))::INT, 1)), '') AS payload_digest,
   CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_page THEN first_page END AS refers_to
