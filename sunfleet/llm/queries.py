@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sunfleet.llm import chat, decontamination, licenses, media, neardup, packing, toxicity, warc
+from sunfleet.llm import chat, decontamination, licenses, lm, media, neardup, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_lm_scoring": lm.op1_query,
         "op2_warc": warc.op2_query,
         "op3_toxicity": toxicity.op3_query,
         "op4_chat_formatting": chat.op4_query,
