@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sunfleet.llm import chat, decontamination, licenses, lm, media, neardup, packing, toxicity, warc
+from sunfleet.llm import chat, decontamination, licenses, lm, media, neardup, packing, tokencounts, toxicity, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable]:
         "op6_decontamination": decontamination.op6_query,
         "op7_best_fit_packing": packing.op7_query,
         "op8_license_scans": licenses.op8_query,
+        "op9_token_counts": tokencounts.op9_query,
         "op10_minhash_near_dedup": neardup.op10_query,
     }
 

@@ -78,9 +78,9 @@ class Encoder:
         order = np.argsort(keys, kind="stable")
         self.known, self.start, self.count = keys[order], np.concatenate([self.start, starts])[order], np.concatenate([self.count, counts])[order]
 
-    def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array, end: int | None = None, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts (uint32), one after another, and where each text's begin; `end` is put after each text. A null
-        text is an empty one."""
+        text is an empty one. Without `special` the special tokens' strings in a text are ordinary text."""
         raw, at = text_buffer(column)
         n = len(at) - 1
         if len(raw):
@@ -113,7 +113,7 @@ class Encoder:
         ids = self.pool[np.arange(sums[-1]) + np.repeat(starts - sums[:-1], counts)]
         # special strings: the whole tokenizer has its say
         slow = {}
-        if SPECIAL.encode() in raw.tobytes():
+        if special and SPECIAL.encode() in raw.tobytes():
             slow = {i: np.array(self._slow(x), np.uint32) for i, x in enumerate(column.to_pylist()) if x and SPECIAL in x}
         if not slow and end is None:
             return ids, bounds
