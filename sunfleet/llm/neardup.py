@@ -168,11 +168,20 @@ def links(docs: DataFrame, signed: DataFrame, m: int, percent: int) -> DataFrame
     # the partner is not, so that the partner's difference is over open_from
     partner = F.when(F.col("linked"), F.greatest("size", F.col("open_from"))).otherwise(F.col("size"))
     needed = F.greatest(F.ceil((partner + F.col("size") - F.col("h")) / 2), F.lit(1))
-    small = left.select("hub", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("size").alias("size_a"), F.col("linked").alias("linked_a"), F.explode(F.slice("first", F.lit(1), F.greatest((F.col("size") - needed + 1).cast("int"), F.lit(0)))).alias("e"))
-    large = left.select("hub", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("size").alias("size_b"), F.col("linked").alias("linked_b"), F.explode("first").alias("e"))
-    close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    ordered = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
-    pairs = small.join(large, ["hub", "e"]).where(close & ordered & ~(F.col("linked_a") & F.col("linked_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    head = F.slice("first", F.lit(1), F.greatest((F.col("size") - needed + 1).cast("int"), F.lit(0)))
+    side = lambda x, elements: left.select(
+        "hub", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("size").alias(f"size_{x}"), F.col("linked").alias(f"linked_{x}"),
+        F.posexplode(elements).alias(f"at_{x}", "e"),
+    )
+    n_a, n_b, size_a, size_b = (F.col(c) for c in ("n_a", "n_b", "size_a", "size_b"))
+    # what both differences must share, and what they still can from the place of their first common element on
+    overlap = (size_a + size_b - (n_a + n_b) * ratio) / 2 - 1e-6
+    close = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent) & (size_a - F.col("at_a") >= overlap) & (size_b - F.col("at_b") >= overlap)
+    ordered = (size_a < size_b) | ((size_a == size_b) & (F.col("a") < F.col("b")))
+    pairs = (
+        side("a", head).join(side("b", F.col("first")), ["hub", "e"]).where(close & ordered & ~(F.col("linked_a") & F.col("linked_b")))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
     return direct.unionByName(_verified(pairs, sets, percent))
 
 
@@ -194,5 +203,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, but for those that another document of their group stands for. Rows with a
+    null doc_id stay."""
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
