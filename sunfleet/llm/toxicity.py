@@ -131,6 +131,20 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], extra: list[s
     return rows.mapInArrow(run, f"{schema}, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted as toxic."""
+    shipped = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros(1 << BITS)
+        dense[shipped.value[0]] = shipped.value[1]
+        for part, found, offsets in feature_batches(batches):
+            p = 1.0 / (1.0 + np.exp(-np.clip(np.add.reduceat(dense[found], offsets[:-1]), -35, 35)))
+            yield part.filter(pa.array(p < THRESHOLD))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
