@@ -72,6 +72,6 @@ class Rolling:
         if self.shift:
             df = df.withColumns({n: F.avg(x).over(by_key) for n, x in self.shift.items()})
         df = df.withColumns({n: F.sum(x).over(running) for n, x in self.inputs.items()})
-        zero = {n: F.lit(0) if n in self.inputs else None for n in self.inputs}
-        df = df.withColumns({n: F.col(n) - F.coalesce(F.lag(n, self.window).over(ordered), zero[n]) for n in self.inputs})
-        return df.withColumns(results).drop(*self.inputs, *self.shift)
+        df = df.withColumn("__before", F.lag(F.struct(*self.inputs), self.window).over(ordered))
+        df = df.withColumns({n: F.col(n) - F.coalesce(F.col(f"__before.{n}"), F.lit(0)) for n in self.inputs})
+        return df.withColumns(results).drop("__before", *self.inputs, *self.shift)

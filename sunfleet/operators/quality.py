@@ -61,6 +61,8 @@ def quality(cube: DataFrame, window: int = 720, least: int | None = None, eps: f
     eta = F.col("eta_base") * (1.0 - GAMMA * (F.col("temp") - 25.0))
     short = 1.0 - F.col("r") / (F.col("ref") + eps) / (eta + eps)
     df = df.withColumns({"short": clip(short, 0.0), "gap": F.col("energia").isNull().cast("double")})
+    # the windows' own shuffle, asked for here: it keeps the inputs as plain columns in the generated code
+    df = df.select("plant", "t_idx", "time", "energia", "poa", "temp", "capacity_scale", "day_peak", "day", "dark", "ref", "r", "v", "short", "gap").repartition("plant")
     roll = Rolling("plant", "t_idx", window)
     r, v = F.col("r"), F.col("v")
     day = F.col("day")
