@@ -1,13 +1,14 @@
 """WARC archives of captures, and the assembly of transactions from their records.
 
 A capture is a request record, a response or revisit record and a metadata record; the first and the last name the
-response in WARC-Concurrent-To. Archives are plain WARC files in the shared folder: Spark's text writer ends each record
+response in WARC-Concurrent-To. Archives are gzipped WARC files in the shared folder: Spark's text writer ends each record
 with the two line breaks that the format asks for. Reading frames records by Content-Length.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from sunfleet.llm.shared import new_path, stored
 
 DATE = "2026-01-01T00:00:00Z"
-#: Bytes of payload in an archive, about; a page over that has one of its own.
-ARCHIVE_BYTES = 8 << 20
+#: Records in an archive at most.
+ARCHIVE_RECORDS = 6144
 _END = "\r\n\r\n"
 
 
@@ -77,7 +78,7 @@ def records_of(url: str | None, page: int | None, html: str | None, first: int |
     return [request, main, metadata]
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, archive_records: int = ARCHIVE_RECORDS) -> None:
     """Writes page_id, url, html to WARC files at `path`.
 
     Of equal payloads that with the smallest page_id is a response, the others are revisits of it. A null html is an empty
@@ -94,14 +95,16 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
                 out = [r for u, p, h, f in zip(part["url"], part["page_id"], part["html"], part["first"], strict=True) for r in records_of(u, p, h, f)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    size = rows.agg(F.sum(F.octet_length("html") + 1500)).first()[0] or 0
+    # the join is the one shuffle of payloads; its partitions, cut by number of records, are the archives
     joined = rows.join(firsts, "digest").select("page_id", "url", "html", "first")
-    spread = joined.repartition(max(1, -(-size // archive_bytes)), F.xxhash64("page_id", "url"))
-    spread.mapInArrow(write, "value string").write.option("lineSep", _END).text(path)
+    writer = joined.mapInArrow(write, "value string").write.option("lineSep", _END).option("compression", "gzip")
+    writer.option("maxRecordsPerFile", archive_records).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of an archive."""
+    """(header fields, block) of each record of an archive, gzipped or plain."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         stop = data.index(b"\r\n\r\n", at)
