@@ -238,7 +238,7 @@ def agent_action(spark, d):
     return diagnose.act(p)
 
 
-@query("reflection", "SELECT o_orderkey, round_even((b - a) / (abs(b) + 1e-9) * 100, 2) AS improvement_pct, CASE WHEN (b - a) / (abs(b) + 1e-9) * 100 > 5 THEN 'improved' WHEN (b - a) / (abs(b) + 1e-9) * 100 < -5 THEN 'degraded' ELSE 'stable' END AS verdict FROM (SELECT o_orderkey, o_totalprice::DOUBLE / 1000 AS b, o_totalprice::DOUBLE / 1000 * (90 + o_orderkey % 20) / 100 AS a FROM orders)")
+@query("reflection", "SELECT o_orderkey, round_even((b - a) / (abs(b) + 1e-9) * 100, 2) + 0.0::DOUBLE AS improvement_pct, CASE WHEN (b - a) / (abs(b) + 1e-9) * 100 > 5 THEN 'improved' WHEN (b - a) / (abs(b) + 1e-9) * 100 < -5 THEN 'degraded' ELSE 'stable' END AS verdict FROM (SELECT o_orderkey, o_totalprice::DOUBLE / 1000 AS b, o_totalprice::DOUBLE / 1000 * (90 + o_orderkey % 20) / 100 AS a FROM orders)")
 def reflection(spark, d):
     b = F.col("o_totalprice").cast("double") / 1000
     o = table(spark, d, "orders").select("o_orderkey", b.alias("loss_before"), (b * (90 + F.col("o_orderkey") % 20) / 100).alias("loss_after"))
@@ -263,12 +263,12 @@ def nearest_in_time(spark, d):
     return align.nearest_in_time(left, right, "key", "time", ["v"]).select("o_orderkey", "matched", "v")
 
 
-@query("rounded_site_join", f"WITH {PLANTS}, {SITES} SELECT p.plant, s.location FROM plants p LEFT JOIN sites s ON round_even(p.lat, 1) = round_even(s.lat, 1) AND round_even(p.lon, 1) = round_even(s.lon, 1)")
+@query("rounded_site_join", f"WITH {PLANTS}, {SITES} SELECT p.plant, coalesce(s.location, -1) AS location FROM plants p LEFT JOIN sites s ON round_even(p.lat, 1) = round_even(s.lat, 1) AND round_even(p.lon, 1) = round_even(s.lon, 1)")
 def rounded_site_join(spark, d):
     p, s = plants(spark, d), sites(spark, d)
     cell = lambda x: (F.bround(x["lat"], 1), F.bround(x["lon"], 1))
     (a, b), (e, f) = cell(p), cell(s)
-    return p.join(s, (a == e) & (b == f), "left").select(p["plant"], "location")
+    return p.join(s, (a == e) & (b == f), "left").select(p["plant"], F.coalesce("location", F.lit(-1)).alias("location"))
 
 
 @query("missing_coordinates", "SELECT count(*) AS n, count(*) FILTER (s_suppkey IS NULL) AS missing FROM customer LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0) ON c_custkey = s_suppkey")
@@ -277,9 +277,9 @@ def missing_coordinates(spark, d):
     return table(spark, d, "customer").join(s, F.col("c_custkey") == F.col("s_suppkey"), "left").agg(F.count("*").alias("n"), F.count_if(F.col("s_suppkey").isNull()).alias("missing"))
 
 
-@query("first_per_plant_join", "WITH f AS (SELECT * FROM (SELECT ps.l_suppkey, ps.l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem ps) WHERE k = 1) SELECT s_suppkey, l_partkey AS first_part FROM supplier LEFT JOIN f ON s_suppkey = l_suppkey")
+@query("first_per_plant_join", "WITH f AS (SELECT * FROM (SELECT ps.l_suppkey, ps.l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem ps) WHERE k = 1) SELECT s_suppkey, l_partkey AS first_part FROM supplier LEFT JOIN f ON s_suppkey = l_suppkey")
 def first_per_plant_join(spark, d):
-    first = align.first_per_key(table(spark, d, "lineitem"), "l_suppkey", F.struct("l_orderkey", "l_linenumber")).select("l_suppkey", F.col("l_partkey").alias("first_part"))
+    first = align.first_per_key(table(spark, d, "lineitem"), "l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey")).select("l_suppkey", F.col("l_partkey").alias("first_part"))
     return table(spark, d, "supplier").join(first, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", "first_part")
 
 
@@ -309,9 +309,9 @@ def kwp_registry(spark, d):
 HAVERSINE = "2 * 6371.0::DOUBLE * asin(least(1.0, sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)))"
 
 
-@query("distance_graph", f"WITH {PLANTS}, e AS (SELECT a.plant AS src, b.plant AS dst, {HAVERSINE} AS dist_km FROM plants a JOIN plants b ON a.plant <> b.plant) SELECT src, dst, round(dist_km, 4) AS dist_km, round(1 / (dist_km + 1e-6), 4) AS weight FROM e WHERE dist_km < 20 AND dist_km > 0.001")
+@query("distance_graph", f"WITH {PLANTS}, e AS (SELECT a.plant AS src, b.plant AS dst, {HAVERSINE} AS dist_km FROM plants a JOIN plants b ON a.plant <> b.plant) SELECT src, dst, round(dist_km, 4) AS dist_km, round(1 / (dist_km + 1e-6), 4) AS weight FROM e WHERE dist_km < 60 AND dist_km > 0.001")
 def distance_graph(spark, d):
-    return rounded(graph.distance_graph(plants(spark, d), 20.0).where("dist_km > 0.001"), 4)
+    return rounded(graph.distance_graph(plants(spark, d), 60.0).where("dist_km > 0.001"), 4)
 
 
 @query("nearest_neighbour_graph", f"WITH {PLANTS}, far AS (SELECT plant, lat * 10 - 400 AS lat, lon FROM plants WHERE plant <= 12), e AS (SELECT a.plant AS src, b.plant AS dst, {HAVERSINE} AS dist_km FROM far a JOIN far b ON a.plant <> b.plant), n AS (SELECT src, arg_min(dst, (dist_km, dst)) AS dst, min(dist_km) AS dist_km FROM e GROUP BY src), u AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, round(dist_km, 4) AS dist_km FROM n) SELECT * FROM u UNION ALL SELECT dst, src, dist_km FROM u")
@@ -320,9 +320,9 @@ def nearest_neighbour_graph(spark, d):
     return rounded(graph.distance_graph(far, 0.0001).select("src", "dst", "dist_km"), 4)
 
 
-@query("edge_attention", f"WITH {PLANTS}, e AS (SELECT a.plant AS src, b.plant AS dst, {HAVERSINE} AS dist_km FROM plants a JOIN plants b ON a.plant <> b.plant), s AS (SELECT *, (src % 7 - 3) * ln(1 + 1 / (dist_km + 1e-6)) AS x FROM e WHERE dist_km < 20 AND dist_km > 0.001), m AS (SELECT *, exp(x - max(x) OVER (PARTITION BY dst)) AS w FROM s) SELECT dst, round(sum(w * (src % 11)) / (sum(w) + 1e-12), 5) AS message FROM m GROUP BY dst")
+@query("edge_attention", f"WITH {PLANTS}, e AS (SELECT a.plant AS src, b.plant AS dst, {HAVERSINE} AS dist_km FROM plants a JOIN plants b ON a.plant <> b.plant), s AS (SELECT *, (src % 7 - 3) * ln(1 + 1 / (dist_km + 1e-6)) AS x FROM e WHERE dist_km < 60 AND dist_km > 0.001), m AS (SELECT *, exp(x - max(x) OVER (PARTITION BY dst)) AS w FROM s) SELECT dst, round(sum(w * (src % 11)) / (sum(w) + 1e-12), 5) AS message FROM m GROUP BY dst")
 def edge_attention(spark, d):
-    e = graph.distance_graph(plants(spark, d), 20.0).where("dist_km > 0.001").withColumns({"score": (F.col("src") % 7 - 3).cast("double"), "value": (F.col("src") % 11).cast("double")})
+    e = graph.distance_graph(plants(spark, d), 60.0).where("dist_km > 0.001").withColumns({"score": (F.col("src") % 7 - 3).cast("double"), "value": (F.col("src") % 11).cast("double")})
     return rounded(graph.attention(e, "score", "value"), 5)
 
 
@@ -391,12 +391,12 @@ def kept_rows(spark, d):
     return features.without_outliers(scored(spark, d)).groupBy("plant").agg(F.count("*").alias("n"))
 
 
-@query("patches", "SELECT vec_id, [[round(v::DOUBLE, 6) FOR v IN list_slice(embedding, s + 1, s + 4)] FOR s IN range(0, 21, 2)] AS patches FROM embeddings")
+@query("patches", "SELECT vec_id, (s // 2)::INT AS k, round(embedding[s + 1]::DOUBLE, 6) AS a, round(embedding[s + 4]::DOUBLE, 6) AS d FROM embeddings, range(0, 21, 2) t(s)")
 def patches(spark, d):
     from sunfleet.functions.scalar import patches as cut
 
     x = F.transform("embedding", lambda v: F.round(v.cast("double"), 6))
-    return table(spark, d, "embeddings").select("vec_id", cut(x).alias("patches"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(cut(x)).alias("k", "p")).select("vec_id", "k", F.get("p", F.lit(0)).alias("a"), F.get("p", F.lit(3)).alias("d"))
 
 
 @query("array_features", "SELECT vec_id, round(list_avg(embedding::DOUBLE[]), 5) AS mean, round(list_max(embedding)::DOUBLE, 5) AS max, round(list_stddev_pop(embedding::DOUBLE[]), 5) AS std, round(len(list_filter(embedding, lambda v: v > 0)) / len(embedding), 5) AS positive FROM embeddings")

@@ -180,7 +180,7 @@ def ablation(spark, d):
 
 BANDS = f"""WITH {FORECASTS}, b AS (SELECT *, abs(true_pv - pred_pv) AS score, (qs >= 0.3333333336666667::DOUBLE)::INT + (qs >= 0.6666666673333334::DOUBLE)::INT AS band FROM forecasts WHERE qs IS NOT NULL),
   k AS (SELECT band, score, row_number() OVER (PARTITION BY band ORDER BY score) - 1 AS k, count(*) OVER (PARTITION BY band) AS n FROM b),
-  w AS (SELECT band, n, least(0.9::DOUBLE * (n + 1) / n, 1.0) * (n - 1) AS at, score, k FROM k), q AS (SELECT band, n AS n_cal, sum(greatest(0, 1 - abs(k - at)) * score) / sum(greatest(0, 1 - abs(k - at))) AS quantile FROM w GROUP BY 1, 2)"""
+  w AS (SELECT band, n, least(0.9::DOUBLE * (n + 1) / n, 1.0) * (n - 1) AS place, score, k FROM k), q AS (SELECT band, n AS n_cal, sum(greatest(0, 1 - abs(k - place)) * score) / sum(greatest(0, 1 - abs(k - place))) AS quantile FROM w GROUP BY 1, 2)"""
 
 
 @query("conformal_bands", f"{BANDS} SELECT band, n_cal, round(quantile, 6) AS quantile, round(band / 3.0::DOUBLE, 6) AS qs_lo, round((band + 1) / 3.0::DOUBLE, 6) AS qs_hi FROM q")
@@ -208,7 +208,7 @@ def score_intervals(spark, d):
 @query("replay_slots", "WITH s AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS seq, o_totalprice::DOUBLE AS y FROM orders) SELECT seq % 1000 AS slot, max(seq) AS seq, arg_max(y, seq) AS y FROM s GROUP BY 1")
 def replay_slots(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("y"))
-    return continual.replay_buffer(numbered(o, "o_orderkey", "seq"))
+    return continual.replay_buffer(numbered(o, "o_orderkey", "seq")).select("slot", "seq", "y")
 
 
 def numbered(df, key, name):

@@ -29,14 +29,19 @@ def upn_in(name: Column | str) -> Column:
     return F.nullif(F.regexp_extract(name, r"(UPN_\d+_\d+)", 1), F.lit(""))
 
 
+def _century(t: Column) -> Column:
+    """Two-digit years from 69 on are of the last century."""
+    return F.when(F.year(t) >= 2069, F.add_months(t.cast("date"), -1200).cast("timestamp") + F.make_interval(hours=F.hour(t), mins=F.minute(t))).otherwise(t)
+
+
 def strict_time(c: Column | str) -> Column:
     """dd/MM/yy HH:mm; a value of another form is an error."""
-    return F.to_timestamp(c, F.lit(TIME_FORMAT))
+    return _century(F.to_timestamp(c, TIME_FORMAT))
 
 
 def lenient_time(c: Column | str) -> Column:
     """dd/MM/yy HH:mm; NULL for a value of another form."""
-    return F.try_to_timestamp(F.col(c) if isinstance(c, str) else c, F.lit(TIME_FORMAT))
+    return _century(F.try_to_timestamp(F.col(c) if isinstance(c, str) else c, F.lit(TIME_FORMAT)))
 
 
 def read_readings(spark: SparkSession, folder: str, year: int, upns: list[str] | None = None, most_files: int | None = None, strict: bool = False) -> DataFrame:
