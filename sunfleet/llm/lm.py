@@ -27,7 +27,7 @@ from sunfleet.llm.words import slices, words_of
 #: Pseudo-counts of the shorter context.
 MU2, MU3 = 500.0, 20.0
 #: Tokens of a chunk and of a shard, about.
-CHUNK_TOKENS, SHARD_TOKENS = 400_000, 1_000_000
+CHUNK_TOKENS, SHARD_TOKENS = 800_000, 1_000_000
 #: Hashes that stand for the begin and the end of a text; no word has them but by a 64-bit collision.
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _U = np.uint64
@@ -38,6 +38,15 @@ def _ints(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def _planes(x: np.ndarray) -> list[np.ndarray]:
+    """24-bit numbers as three arrays of bytes."""
+    return [(x >> s & 0xFF).astype(np.uint8) for s in (0, 8, 16)]
+
+
+def _joined(planes: list[np.ndarray]) -> np.ndarray:
+    return sum(p.astype(np.uint32) << np.uint32(8 * i) for i, p in enumerate(planes))
+
+
 def pack_arrays(arrays: list[np.ndarray]) -> bytes:
     small = [_ints(a) for a in arrays]
     head = np.array([x for a in small for x in (a.itemsize, len(a))], np.int64)
@@ -84,7 +93,7 @@ class Grams:
         self.two_of = np.full(len(seq), -1, np.int64)
         self.two_of[two] = at
         three = two[~last[two + 1]]
-        keys, at = np.unique(self.two_of[three].astype(_U) << _U(32) | mark[three + 2].astype(_U), return_inverse=True)
+        keys, at = np.unique(self.two_of[three].astype(_U) << _U(32) | (mark[three + 2] >> 8).astype(_U), return_inverse=True)
         self.parent3, self.word3 = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.uint32)
         self.n3 = np.bincount(at[learned[three]], minlength=len(keys))
         self.three_of = np.full(len(seq), -1, np.int64)
@@ -110,7 +119,7 @@ class Grams:
         at_home = self.roots[roots] % _U(shards) == _U(shard)
         of2 = np.bincount(np.searchsorted(roots, self.parent2[twos]), minlength=len(roots))
         of3 = np.bincount(np.searchsorted(twos, self.parent3[threes]), minlength=len(twos))
-        return pack_arrays([self.roots[roots], self.root_n[roots] * at_home, of2, self.word2[twos], self.n2[twos], of3, self.word3[threes], self.n3[threes]])
+        return pack_arrays([self.roots[roots], self.root_n[roots] * at_home, of2, self.word2[twos], self.n2[twos], of3, self.n3[threes], *_planes(self.word3[threes])])
 
 
 def answers(blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray) -> list[bytes]:
@@ -120,13 +129,13 @@ def answers(blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray) -> list[byte
     def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(where, np.concatenate(counts).astype(np.float64), minlength=len(distinct)).astype(np.int64)
-        return distinct, total, np.split(where, np.cumsum([len(k) for k in keys])[:-1])
+        return distinct, total, np.split(where.astype(np.int32), np.cumsum([len(k) for k in keys])[:-1])
 
     roots, root_n, where1 = merged([a[0].astype(_U) for a in asked], [a[1] for a in asked])
     key2 = [np.repeat(w, a[2]).astype(_U) << _U(32) | a[3].astype(_U) for w, a in zip(where1, asked, strict=True)]
     twos, n2, where2 = merged(key2, [a[4] for a in asked])
-    key3 = [np.repeat(w, a[5]).astype(_U) << _U(32) | a[6].astype(_U) for w, a in zip(where2, asked, strict=True)]
-    threes, n3, _ = merged(key3, [a[7] for a in asked])
+    key3 = [np.repeat(w, a[5]).astype(_U) << _U(32) | _joined(a[7:10]).astype(_U) for w, a in zip(where2, asked, strict=True)]
+    threes, n3, where3 = merged(key3, [a[6] for a in asked])
 
     # counts as a context: of frequent words they are known, other words have all their bigrams here
     context = np.bincount((twos >> _U(32)).astype(np.int64), n2, minlength=len(roots)).astype(np.int64)
@@ -142,14 +151,13 @@ def answers(blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray) -> list[byte
     level2 = (new1[parent2], (twos[keep2] & _U(0xFFFFFFFF)).astype(np.uint32), n2[keep2] / (context[parent2] + MU2))
     level3 = (new2[parent3], (threes[keep3] & _U(0xFFFFFFFF)).astype(np.uint32), n3[keep3] / (n2[parent3] + MU3))
     trie = Trie(roots[keep1], root_n[keep1], [level2, level3])
-    out = []
-    for a in asked:
-        node1 = trie.root(a[0].astype(_U))
-        node2 = trie.child(1, np.repeat(node1, a[2]), a[3])
-        node3 = trie.child(2, np.repeat(node2, a[5]), a[6])
-        count = np.where(node1 >= 0, trie.counts[np.maximum(node1, 0)], 0) if len(trie.counts) else np.zeros(len(node1), np.int64)
-        out.append(pack_arrays([count, trie.code(1, node2), trie.code(2, node3)]))
-    return out
+    # each distinct n-gram is looked up once, for all chunks that ask for it
+    node1 = trie.root(roots)
+    node2 = trie.child(1, node1[(twos >> _U(32)).astype(np.int64)], (twos & _U(0xFFFFFFFF)).astype(np.uint32))
+    node3 = trie.child(2, node2[(threes >> _U(32)).astype(np.int64)], (threes & _U(0xFFFFFFFF)).astype(np.uint32))
+    count = np.where(node1 >= 0, trie.counts[np.maximum(node1, 0)], 0) if len(trie.counts) else np.zeros(len(node1), np.int64)
+    code2, code3 = trie.code(1, node2), trie.code(2, node3)
+    return [pack_arrays([count[a], code2[b], code3[c]]) for a, b, c in zip(where1, where2, where3, strict=True)]
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -191,8 +199,8 @@ def lm_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: i
 
     Tokens are folded words between blanks and one end for each text; a null or empty text is its end alone. Without
     learning texts all counts are zero. Repeated rows count as often as they stand; a null id is learned from. Other
-    columns are not read; an empty table gives an empty table. Words are told apart by 64-bit hashes, the words after the
-    first of an n-gram by 32 bits among the successors of one context.
+    columns are not read; an empty table gives an empty table. Words are told apart by 64-bit hashes, the second
+    word of an n-gram by 32 bits among the successors of the first, the third by 24 among those of both.
     """
     spark = docs.sparkSession
     rows = marked(docs)
