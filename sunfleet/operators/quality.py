@@ -170,8 +170,8 @@ def temporal(df: DataFrame, window: int = 720, least: int = 180) -> DataFrame:
 
 def slopes(df: DataFrame, least: int = 10) -> DataFrame:
     """plant, slope of qs over t_idx, 0 with fewer than `least` points."""
-    fit = df.where("qs IS NOT NULL").groupBy("plant").agg(F.regr_slope("qs", F.col("t_idx").cast("double")).alias("s"), F.count("*").alias("n"))
-    return df.select("plant").distinct().join(fit, "plant", "left").select("plant", F.when(F.col("n") >= least, F.col("s")).otherwise(0.0).alias("slope"))
+    fit = df.groupBy("plant").agg(F.regr_slope("qs", F.col("t_idx").cast("double")).alias("s"), F.count("qs").alias("n"))
+    return fit.select("plant", F.when(F.col("n") >= least, F.col("s")).otherwise(0.0).alias("slope"))
 
 
 def spatial_z(df: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from sunfleet.plans.tables import CUBE, LEAST, PLANTS, QUALITY, SCALES, SITES, W
 
 
 def scored(spark, d):
-    return quality.quality(cube(spark, d), WINDOW, LEAST)
+    """The scores are kept: most reports read them more than once, and equal plans share what is kept."""
+    return quality.quality(cube(spark, d), WINDOW, LEAST).persist()
 
 
 def counted(spark, d):
@@ -229,13 +230,13 @@ def decisions(spark, d):
     return diagnose.decide(diagnose.cause_by_rule(scored(spark, d), 60, 50).select("plant", "cause"))
 
 
-ACT = f"WITH {SCALES} SELECT CASE WHEN count(*) FILTER (plant % 3 = 0 AND cause NOT IN ('sensor_failure', 'regional_cloud_event')) > 0 THEN 'retrain_triggered' ELSE 'no_action' END AS action, list_sort(list(plant) FILTER (plant % 3 = 0 AND cause NOT IN ('sensor_failure', 'regional_cloud_event'))) AS action_plants FROM (SELECT plant, CASE plant % 4 WHEN 0 THEN 'sensor_failure' WHEN 1 THEN 'regional_cloud_event' ELSE 'normal' END AS cause FROM scales)"
+ACT = f"WITH {SCALES} SELECT CASE WHEN count(*) FILTER (plant % 3 = 0 AND cause NOT IN ('sensor_failure', 'regional_cloud_event')) > 0 THEN 'retrain_triggered' ELSE 'no_action' END AS action, array_to_string(list_sort(list(plant) FILTER (plant % 3 = 0 AND cause NOT IN ('sensor_failure', 'regional_cloud_event'))), ',') AS action_plants FROM (SELECT plant, CASE plant % 4 WHEN 0 THEN 'sensor_failure' WHEN 1 THEN 'regional_cloud_event' ELSE 'normal' END AS cause FROM scales)"
 
 
 @query("agent_action", ACT)
 def agent_action(spark, d):
     p = quality.plant_scales(cube(spark, d)).select("plant", (F.col("plant") % 3 == 0).alias("drift"), F.when(F.col("plant") % 4 == 0, "sensor_failure").when(F.col("plant") % 4 == 1, "regional_cloud_event").otherwise("normal").alias("cause"))
-    return diagnose.act(p)
+    return diagnose.act(p).select("action", F.array_join("action_plants", ",").alias("action_plants"))
 
 
 @query("reflection", "SELECT o_orderkey, round_even((b - a) / (abs(b) + 1e-9) * 100, 2) + 0.0::DOUBLE AS improvement_pct, CASE WHEN (b - a) / (abs(b) + 1e-9) * 100 > 5 THEN 'improved' WHEN (b - a) / (abs(b) + 1e-9) * 100 < -5 THEN 'degraded' ELSE 'stable' END AS verdict FROM (SELECT o_orderkey, o_totalprice::DOUBLE / 1000 AS b, o_totalprice::DOUBLE / 1000 * (90 + o_orderkey % 20) / 100 AS a FROM orders)")
