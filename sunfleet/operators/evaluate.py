@@ -165,7 +165,7 @@ class Ablation:
         self.rows: list[tuple] = []
 
     def add(self, model_name: str, mae_ghi: float, mae_pv: float, rmse_ghi: float, rmse_pv: float, detection_rate: float, **extra: str) -> None:
-        self.rows.append((model_name, mae_ghi, mae_pv, rmse_ghi, rmse_pv, detection_rate, {k: str(v) for k, v in extra.items()}))
+        self.rows.append((model_name, *map(float, (mae_ghi, mae_pv, rmse_ghi, rmse_pv, detection_rate)), {k: str(v) for k, v in extra.items()}))
 
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame(self.rows, self.FIELDS).orderBy("mae_pv", "model_name")
