@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sunfleet.llm.shared import stored
@@ -28,6 +28,8 @@ from sunfleet.llm.words import slices, words_of
 MU2, MU3 = 500.0, 20.0
 #: Tokens of a chunk and of a shard, about.
 CHUNK_TOKENS, SHARD_TOKENS = 800_000, 1_000_000
+#: Words with fewer tokens are never frequent: their n-grams stay in one shard.
+RARE = 32
 #: Hashes that stand for the begin and the end of a text; no word has them but by a 64-bit collision.
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _U = np.uint64
@@ -204,9 +206,12 @@ def lm_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: i
     """
     spark = docs.sparkSession
     rows = marked(docs)
-    words = stored(vocabulary(rows), "vocabulary")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    end_n = (words.where(F.col("word") == int(END.view(np.int64))).agg(F.sum("n")).first()[0]) or 0
+    # totals are observed while the words that can be frequent are stored
+    seen = Observation()
+    n_end = F.sum(F.when(F.col("word") == int(END.view(np.int64)), F.col("n")))
+    counted = vocabulary(rows).observe(seen, F.sum("n").alias("total"), F.count("*").alias("distinct"), n_end.alias("ends"))
+    words = stored(counted.where(F.col("n") >= RARE), "vocabulary")
+    total, distinct, end_n = (seen.get.get(k) or 0 for k in ("total", "distinct", "ends"))
     chunks, shards = max(1, -(-total * 7 // (6 * chunk_tokens))), max(1, -(-total // shard_tokens))
     # at most 8 * shards words have an eighth of a shard's tokens or more
     frequent = words.where(F.col("n") >= max(1, total // (8 * shards))).orderBy("word").toArrow()
