@@ -14,8 +14,8 @@ MEASURES = "count(pred_pv - true_pv) AS n, round(avg(abs(pred_pv - true_pv)), 6)
 
 @query("error_measures", f"WITH {FORECASTS} SELECT plant, {MEASURES}, round(corr(pred_pv, true_pv), 5) AS r, count(*) FILTER (pred_pv < 0) AS negatives FROM forecasts WHERE true_ghi > 0.01 GROUP BY plant")
 def error_measures(spark, d):
-    m = rounded(evaluate.measured(forecasts(spark, d).where("true_ghi > 0.01"), "pred_pv", "true_pv", ["plant"]))
-    return m.withColumn("r", F.round("r", 5))
+    m = evaluate.measured(forecasts(spark, d).where("true_ghi > 0.01"), "pred_pv", "true_pv", ["plant"])
+    return rounded(m.withColumn("r", F.round("r", 5)))
 
 
 @query("ghi_measures", f"WITH {FORECASTS} SELECT {MEASURES.replace('pv', 'ghi')} FROM forecasts WHERE true_ghi > 0.01")
@@ -245,12 +245,12 @@ def lag_regression(spark, d):
 
 @query("graph_forecast")
 def graph_forecast(spark, d):
-    """The graph network's forward pass over a fleet's last times."""
+    """The graph network's forward pass over all times of a fleet."""
     from sunfleet.operators import features, graph
     from sunfleet.plans.quality import feature_cube
     from sunfleet.plans.tables import plants
 
-    samples = features.lag_windows(features.feature_rows(feature_cube(spark, d))).where("t_idx % 400 = 0")
+    samples = features.lag_windows(features.feature_rows(feature_cube(spark, d)))
     return forecast.Forecaster().score(samples, graph.distance_graph(plants(spark, d), 10.0))
 
 
