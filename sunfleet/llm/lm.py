@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sunfleet.llm.shared import stored
 from sunfleet.llm.trie import Trie, dequantise
-from sunfleet.llm.words import slices, words_of
+from sunfleet.llm.words import slices, text_buffer, words_of
 
 #: Pseudo-counts of the shorter context.
 MU2, MU3 = 500.0, 20.0
@@ -30,6 +30,8 @@ MU2, MU3 = 500.0, 20.0
 CHUNK_TOKENS, SHARD_TOKENS = 800_000, 1_000_000
 #: Words with fewer tokens are never frequent: their n-grams stay in one shard.
 RARE = 32
+#: Bytes of text that a task gathers before it packs them by chunk.
+PACK_BYTES = 32 << 20
 #: Hashes that stand for the begin and the end of a text; no word has them but by a 64-bit collision.
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _U = np.uint64
@@ -168,6 +170,43 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), "text", F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False)).alias("held_out"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """chunk, blob for doc_id, text, held_out, chunk: the rows of a chunk that a task has, compressed together."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            rows = rows.take(pa.array(np.argsort(rows["chunk"].to_numpy(), kind="stable"))).combine_chunks()
+            raw, at = text_buffer(rows["text"])
+            ids, known = rows["doc_id"].fill_null(0).to_numpy().view(_U), rows["doc_id"].is_valid().to_numpy()
+            out, chunk = rows["held_out"].to_numpy(), rows["chunk"].to_numpy()
+            cut = np.append(np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)), len(chunk))
+            blobs = [pack_arrays([ids[i:j], known[i:j], out[i:j], np.diff(at[i : j + 1]), raw[at[i] : at[j]]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[cut[:-1]]), pa.array(blobs, pa.binary())], ["chunk", "blob"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                held.append(part)
+                size += part.column("text").nbytes
+                if size > PACK_BYTES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return docs.select("doc_id", "text", "held_out", "chunk").mapInArrow(pack, "chunk long, blob binary")
+
+
+def unpacked(blobs: list[bytes]) -> pa.Table:
+    """doc_id, text, held_out of blobs of packed()."""
+    ids, known, out, size, raw = (np.concatenate(x) for x in zip(*map(unpack_arrays, blobs), strict=True))
+    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    text = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(at), pa.py_buffer(raw))
+    return pa.table({"doc_id": pa.array(ids.astype(_U).view(np.int64), mask=known == 0), "text": text, "held_out": pa.array(out.astype(bool))})
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word (a hash), n: the tokens of all learning texts."""
 
@@ -218,10 +257,11 @@ def lm_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: i
     keys = np.append(frequent["word"].to_numpy().view(_U), BEGIN)
     order = np.argsort(keys)
     model = spark.sparkContext.broadcast((keys[order], np.append(frequent["n"].to_numpy(), end_n)[order]))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    dealt = packed(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))))
 
     def ask(group: pa.Table) -> pa.Table:
-        grams = Grams(group["text"], group["held_out"].to_numpy().astype(bool))
+        rows = unpacked(group["blob"].to_pylist())
+        grams = Grams(rows["text"], rows["held_out"].to_numpy().astype(bool))
         hot, _ = model.value
         chunk = group["chunk"][0].as_py()
         found = [(s, chunk, grams.request(s, shards, a, b, c)) for s, a, b, c in grams.dealt(shards, hot)]
@@ -231,7 +271,8 @@ def lm_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: i
         blobs = answers(group["blob"].to_pylist(), *model.value)
         return pa.table([group["shard"], group["chunk"], pa.array(blobs, pa.binary())], names=["shard", "chunk", "blob"])
 
-    def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
+    def score(group: pa.Table, replies: pa.Table) -> pa.Table:
+        texts = unpacked(group["blob"].to_pylist())
         held_out = texts["held_out"].to_numpy().astype(bool)
         grams = Grams(texts["text"], held_out)
         hot, hot_n = model.value
