@@ -109,3 +109,23 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+def _values(texts: dict[str, str], base: bool) -> str:
+    return ", ".join(f"('{text}', '{label}', {str(base).lower()})" for text, label in texts.items())
+
+
+#: The base columns by direct comparison of words, the method's by votes of 3-grams.
+OP8_SQL = f"""
+WITH t AS (SELECT text, label, base, string_split(text, ' ') AS parts FROM (VALUES {_values(PHRASES, True)}, {_values(WORDINGS, False)}) AS v(text, label, base)),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SEPARATORS}'), lambda x: x <> '') AS words FROM documents),
+exact AS (SELECT doc_id, label, unnest(list_filter(range(1, len(words) - len(parts) + 2), lambda i: words[i:i + len(parts) - 1] = parts)) - 1 AS start FROM w, t WHERE base),
+tg AS (SELECT text, label, base, len(parts) - {K - 1} AS n, unnest(list_transform(range(1, len(parts) - {K - 2}), lambda i: {{'at': i, 'gram': array_to_string(parts[i:i + {K - 1}], ' ')}})) AS g FROM t),
+wg AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - {K - 2}), lambda i: {{'at': i, 'gram': array_to_string(words[i:i + {K - 1}], ' ')}})) AS g FROM w),
+votes AS (SELECT doc_id, text, label, base, n, wg.g.at - tg.g.at AS diagonal, count(*) AS votes FROM wg JOIN tg ON wg.g.gram = tg.g.gram GROUP BY ALL),
+merged AS (SELECT *, sum(votes) OVER (PARTITION BY doc_id, text ORDER BY diagonal RANGE BETWEEN {SLACK} PRECEDING AND {SLACK} FOLLOWING) AS near FROM votes),
+spans AS (SELECT doc_id, list_sort(list_distinct(list(label))) AS labels, max(least(1.0::DOUBLE, near / n)) AS score FROM merged WHERE near / n >= {COVER} GROUP BY doc_id),
+bases AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM exact GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(bases.labels, ','), '') AS base_labels, coalesce(array_to_string(spans.labels, ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM w LEFT JOIN bases USING (doc_id) LEFT JOIN spans USING (doc_id)"""

@@ -212,3 +212,18 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
+
+
+#: All pairs that share a shingle, counted on full sets, and all that a document reaches.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+n AS (SELECT doc_id, len(shingles) AS n FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+reach AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.seen)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(seen) AS component_id, n.doc_id = min(seen) AS kept FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n.n"""

@@ -26,4 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": warc.OP2_SQL,
         "op4_chat_formatting": chat.OP4_SQL,
+        "op8_license_scans": licenses.OP8_SQL,
+        "op10_minhash_near_dedup": neardup.OP10_SQL,
     }
