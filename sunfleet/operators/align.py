@@ -51,7 +51,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, valu
 def nearest_site(points: DataFrame, sites: DataFrame, point: str = "plant", site: str = "location", cell: float = 0.25) -> DataFrame:
     """point, site, dist_deg: the site of the smallest Euclidean distance in degrees, of equally near ones the lowest id.
 
-    Sites are looked up in square cells around the point, in rings that double until the best one found is nearer than
+    Sites are looked up in square cells around the point, in rings that grow fourfold until the best one found is nearer than
     anything outside the ring can be; points with a NULL coordinate have no match.
     """
     place = lambda c: F.floor(F.col(c) / cell)
@@ -69,15 +69,16 @@ def nearest_site(points: DataFrame, sites: DataFrame, point: str = "plant", site
         around = F.sequence(F.lit(-1), F.lit(1))
         probes = left.withColumn("gx", F.explode(F.transform(around, lambda d: F.floor(F.col("px") / ring) + d))).withColumn("gy", F.explode(F.transform(around, lambda d: F.floor(F.col("py") / ring) + d)))
         apart = degrees_apart(F.col("p_lat"), F.col("p_lon"), F.col("s_lat"), F.col("s_lon"))
-        best = probes.join(wide, ["gx", "gy"]).groupBy(point).agg(F.min(F.struct(apart.alias("d"), F.col(site).alias("s"))).alias("b"))
+        best = probes.join(wide, ["gx", "gy"]).groupBy(point).agg(F.min(F.struct(apart.alias("d"), F.col(site).alias("s"))).alias("b")).persist()
         extent = left.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
         everything = extent[0] is None or max(abs(extent[1] - span[0]), abs(span[1] - extent[0]), abs(extent[3] - span[2]), abs(span[3] - extent[2])) < ring
         sure = best if everything else best.where(F.col("b.d") <= ring * cell)
         out = out.unionByName(sure.select(point, F.col("b.s").alias(site), F.col("b.d").alias("dist_deg")))
         if everything:
             return out
-        left = left.join(sure.select(point), point, "left_anti")
-        ring *= 2
+        # kept, as the next round reads it several times: plans would double with each round
+        left = left.join(sure.select(point), point, "left_anti").persist()
+        ring *= 4
 
 
 def first_per_key(df: DataFrame, key: str, order: Column | str) -> DataFrame:
