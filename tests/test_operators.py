@@ -228,13 +228,18 @@ def test_learning(spark):
     assert abs(learn.soft_dtw(np.array([0.0, 1.0]), np.array([0.0, 1.0]), 1e-3)[0]) < 1e-2
 
 
-def test_forecaster(spark):
+def test_forecaster(spark, tmp_path):
     model = forecast.Forecaster(channels=2, length=8, width=8, heads=2, graph=8)
     rows = [(p, 1, [[float(p), float(i)] for i in range(8)], float(p)) for p in range(3)]
     samples = spark.createDataFrame(rows, "plant int, t_idx int, x array<array<double>>, ghi_cs double")
     edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "src int, dst int, weight double")
     out = {r.plant: r for r in model.score(samples, edges).collect()}
     assert out[0].pred_ghi == 0 and all(0 <= r.pred_ghi <= 1.2 * p and r.pred_pv > 0 for p, r in out.items())
+    model.save(spark, str(tmp_path / "weights"))
+    again = forecast.Forecaster(channels=2, length=8, width=8, heads=2, graph=8, seed=1).load(spark, str(tmp_path / "weights"))
+    assert {r.plant: r for r in again.score(samples, edges).collect()} == out
+    with pytest.raises(ValueError):
+        forecast.Forecaster(channels=3, length=8, width=8, heads=2, graph=8).load(spark, str(tmp_path / "weights"))
 
 
 def test_sources(spark, tmp_path):
