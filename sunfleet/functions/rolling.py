@@ -21,22 +21,26 @@ class Rolling:
         self.inputs: dict[str, Column] = {}
         self.shift: dict[str, Column] = {}
 
+    @staticmethod
+    def _kept(among: dict[str, Column], prefix: str, x: Column) -> Column:
+        """The column for x; what was asked for before is not summed again."""
+        for name, other in among.items():
+            if str(other) == str(x):
+                return F.col(name)
+        name = f"{prefix}{len(among)}"
+        among[name] = x
+        return F.col(name)
+
     def sum(self, x: Column) -> Column:
         """Sum of x over the last `window` rows; NULL counts as 0."""
-        name = f"__s{len(self.inputs)}"
-        self.inputs[name] = F.coalesce(x.cast("double"), F.lit(0.0))
-        return F.col(name)
+        return self._kept(self.inputs, "__s", F.coalesce(x.cast("double"), F.lit(0.0)))
 
     def count(self, x: Column) -> Column:
-        name = f"__s{len(self.inputs)}"
-        self.inputs[name] = x.isNotNull().cast("long")
-        return F.col(name)
+        return self._kept(self.inputs, "__s", x.isNotNull().cast("long"))
 
     def centre(self, x: Column) -> Column:
         """The mean of x over all rows of the key, as a column."""
-        name = f"__m{len(self.shift)}"
-        self.shift[name] = x
-        return F.coalesce(F.col(name), F.lit(0.0))
+        return F.coalesce(self._kept(self.shift, "__m", x), F.lit(0.0))
 
     def mean(self, x: Column, least: int) -> Column:
         m = self.centre(x)

@@ -22,29 +22,27 @@ def plant_scales(cube: DataFrame, eps: float = EPS) -> DataFrame:
     """
     ref = F.col("poa") / 1000.0
     seed = F.first("eta_seed", ignorenulls=True) if "eta_seed" in cube.columns else F.lit(0.15)
-    day = cube.where(ref > DAY_KW).select("plant", "energia", ref.alias("ref"))
-    made = F.col("energia") > 0
-    first = day.groupBy("plant").agg(
-        F.count_if(made).alias("n"),
+    rows = cube.select("plant", "energia", ref.alias("ref"), true(ref > DAY_KW).alias("day"), *[c for c in ("eta_seed",) if c in cube.columns])
+    made = F.col("day") & (F.col("energia") > 0)
+    first = rows.groupBy("plant").agg(
+        F.count_if(made).alias("n_made"),
         F.percentile(F.when(made, F.col("energia")), F.lit(0.99)).alias("p_real"),
         F.percentile(F.when(made, F.col("ref")), F.lit(0.99)).alias("p_ref"),
-        F.percentile("energia", F.lit(0.99)).alias("day_peak"),
-        F.count("*").alias("day_rows"),
+        F.percentile(F.when(F.col("day"), F.col("energia")), F.lit(0.99)).alias("day_peak"),
+        F.count_if("day").alias("day_rows"),
+        seed.alias("seed"),
     )
-    good = (F.col("n") > 10) & (F.col("p_real") > eps) & (F.col("p_ref") > eps)
-    scale = first.select("plant", F.when(good, F.col("p_real") / F.col("p_ref")).otherwise(1.0).alias("capacity_scale"), "day_peak")
-    eta = day.join(scale, "plant").where("energia IS NOT NULL").groupBy("plant").agg(
+    good = (F.col("n_made") > 10) & (F.col("p_real") > eps) & (F.col("p_ref") > eps)
+    # a plant without any day row has a peak of 1; one whose day rows are all missing has none
+    scale = first.select(
+        "plant", "seed", F.when(good, F.col("p_real") / F.col("p_ref")).otherwise(1.0).alias("capacity_scale"),
+        F.when(F.col("day_rows") == 0, F.lit(1.0)).otherwise(F.col("day_peak")).alias("day_peak"),
+    )
+    eta = rows.where("day AND energia IS NOT NULL").join(scale.select("plant", "capacity_scale"), "plant").groupBy("plant").agg(
         F.median(F.col("energia") / (F.col("ref") * F.col("capacity_scale") + eps)).alias("eta"), F.count("*").alias("n")
     )
-    plants = cube.groupBy("plant").agg(seed.alias("seed"))
-    out = plants.join(scale, "plant", "left").join(eta, "plant", "left")
-    return out.select(
-        "plant",
-        F.coalesce("capacity_scale", F.lit(1.0)).alias("capacity_scale"),
-        clip(F.coalesce(F.when(F.col("n") > 10, F.col("eta")), F.col("seed")), 0.1, 2.0).alias("eta_base"),
-        # a plant without any day row has a peak of 1; one whose day rows are all missing has none
-        F.when(F.col("capacity_scale").isNull(), F.lit(1.0)).otherwise(F.col("day_peak")).alias("day_peak"),
-    )
+    base = F.coalesce(F.when(F.col("n") > 10, F.col("eta")), F.col("seed"))
+    return scale.join(eta, "plant", "left").select("plant", "capacity_scale", clip(base, 0.1, 2.0).alias("eta_base"), "day_peak")
 
 
 def quality(cube: DataFrame, window: int = 720, least: int | None = None, eps: float = EPS) -> DataFrame:

@@ -9,7 +9,7 @@ from sunfleet.operators import conformal, continual, evaluate, forecast
 from sunfleet.plans.catalog import query
 from sunfleet.plans.tables import CUBE, FORECASTS, cube, forecasts, rounded, table
 
-MEASURES = "count(pred_pv - true_pv) AS n, round(avg(abs(pred_pv - true_pv)), 6) AS mae, round(sqrt(avg((pred_pv - true_pv) ** 2)), 6) AS rmse, round(avg(pred_pv - true_pv), 6) AS bias"
+MEASURES = "count(pred_pv - true_pv) AS n, round(avg(abs(pred_pv - true_pv)), 6) AS mae, round(sqrt(avg((pred_pv - true_pv) ** 2)), 6) AS rmse, round(avg(pred_pv - true_pv), 6) + 0.0::DOUBLE AS bias"
 
 
 @query("error_measures", f"WITH {FORECASTS} SELECT plant, {MEASURES}, round(corr(pred_pv, true_pv), 5) AS r, count(*) FILTER (pred_pv < 0) AS negatives FROM forecasts WHERE true_ghi > 0.01 GROUP BY plant")
@@ -25,7 +25,7 @@ def ghi_measures(spark, d):
 
 BINNED = f"""WITH {FORECASTS}, ok AS (SELECT * FROM forecasts WHERE qs IS NOT NULL), e AS (SELECT quantile_cont(qs, 0.05) AS a, quantile_cont(qs, 0.25) AS b, quantile_cont(qs, 0.75) AS c, quantile_cont(qs, 0.95) AS d FROM ok),
   bins AS (SELECT CASE WHEN qs < a THEN 'low' WHEN qs < b THEN 'mid-low' WHEN qs < c THEN 'mid' WHEN qs < d THEN 'mid-high' ELSE 'high' END AS bin, count(*) AS n, avg(qs) AS q_mean, avg(abs(pred_pv - true_pv)) AS mae, sqrt(avg((pred_pv - true_pv) ** 2)) AS rmse, avg(pred_pv - true_pv) AS bias, avg(true_pv) AS true_mean, avg(pred_pv) AS pred_mean FROM ok, e GROUP BY 1)"""
-ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in ("q_mean", "mae", "rmse", "bias", "true_mean", "pred_mean"))
+ROUND = ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in ("q_mean", "mae", "rmse", "bias", "true_mean", "pred_mean"))
 
 
 @query("quantile_bin_errors", f"{BINNED} SELECT bin, n, {ROUND}, round(n / sum(n) OVER () * 100, 6) AS share FROM bins")

@@ -125,5 +125,5 @@ FORECASTS = """forecasts AS (
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that engines that sum in another order agree."""
-    return df.withColumns({f.name: F.round(f.name, digits) for f in df.schema.fields if f.dataType.typeName() == "double"})
+    """Doubles rounded, so that engines that sum in another order agree; there is no negative zero."""
+    return df.withColumns({f.name: F.round(f.name, digits) + F.lit(0.0) for f in df.schema.fields if f.dataType.typeName() == "double"})

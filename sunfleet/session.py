@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM doesn't compile longer methods: such a stage is faster as separate projections
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
