@@ -56,12 +56,13 @@ def _unline(text: str) -> str:
     return "".join(out)
 
 
-def records_of(url: str | None, page: int | None, html: str | None, first: int | None) -> list[str]:
-    """The three records of a capture; it revisits the capture `first` of an equal payload if that is another page."""
+def records_of(url: str | None, page: int | None, html: str | None, first: int | None, row: int | None = None) -> list[str]:
+    """The three records of a capture; it revisits the capture `first` of an equal payload if that is another page. Record ids
+    name page, payload and `row`; the capture to which others refer has no row."""
     html = html or ""
     payload = html.encode()
     digest = "sha1:" + base32_sha1(payload)
-    uri, key = _line(url), f"{page} {digest}"
+    uri, key = _line(url), f"{page} {digest}" if row is None else f"{page} {digest} {row}"
     own, target = _id("response", key), {"WARC-Target-URI": uri} if uri else {}
     if page is None or first == page:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}{_END}"
@@ -82,21 +83,25 @@ def write_archives(pages: DataFrame, path: str, archive_records: int = ARCHIVE_R
     """Writes page_id, url, html to WARC files at `path`.
 
     Of equal payloads that with the smallest page_id is a response, the others are revisits of it. A null html is an empty
-    payload; a page without an id is a response of its own.
+    payload; a page without an id is a response of its own. Each row is a capture with record ids of its own, equal rows too.
+    Where the row to which others refer has equal ones, one is picked by its place: `pages` is read twice, in the same order.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("row", F.monotonically_increasing_id())
+    copies = rows.groupBy("digest", "page_id", "url").agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    firsts = copies.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "row", "n"))).alias("first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64).to_pydict()
-                out = [r for u, p, h, f in zip(part["url"], part["page_id"], part["html"], part["first"], strict=True) for r in records_of(u, p, h, f)]
+                out = [r for u, p, h, f, n in zip(part["url"], part["page_id"], part["html"], part["first"], part["row"], strict=True) for r in records_of(u, p, h, f, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     # the join is the one shuffle of payloads; its partitions, cut by number of records, are the archives
-    joined = rows.join(firsts, "digest").select("page_id", "url", "html", "first")
+    joined = rows.join(firsts, "digest")
+    named = (F.col("page_id") == F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url")) & ((F.col("first.n") == 1) | (F.col("row") == F.col("first.row")))
+    joined = joined.select("page_id", "url", "html", F.col("first.page_id").alias("first"), F.when(~F.coalesce(named, F.lit(False)), F.col("row")).alias("row"))
     writer = joined.mapInArrow(write, "value string").write.option("lineSep", _END).option("compression", "gzip")
     writer.option("maxRecordsPerFile", archive_records).text(path)
 
@@ -164,9 +169,8 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: page_id, uri, record_type, payload_bytes, payload_digest, refers_to, request, response,
     metadata.
 
-    Record ids name a page and its payload. Request and metadata records join the response or revisit record that they name as concurrent; a revisit takes size and
-    digest from the response to which it refers. A capture without a request or metadata record has nulls there; repeated
-    rows share their record ids and are one capture.
+    Record ids name a row. Request and metadata records join the response or revisit record that they name as concurrent; a revisit takes size and
+    digest from the response to which it refers. A capture without a request or metadata record has nulls there.
     """
     main = records.where("type IN ('response', 'revisit')").groupBy("record_id").agg(
         *[F.first(c).alias(c) for c in ("type", "refers_to", "uri", "stated_digest", "payload_bytes", "payload_digest", "payload")]

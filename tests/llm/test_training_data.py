@@ -267,3 +267,14 @@ def test_warc_transactions(spark):
     assert {k: (r.record_type, r.refers_to) for k, r in found.items()} == {1: ("response", None), 3: ("revisit", 1), 2: ("response", None), 4: ("revisit", 2), 5: ("response", None), None: ("response", None)}
     assert found[3].payload_bytes == 4 and found[3].payload_digest == warc.base32_sha1(b"same") == found[1].payload_digest
     assert found[1].uri == "http://b c" and found[1].request.request.startswith("GET http://b%20c") and bytes(found[5].response.payload) == b"x" * 100000
+
+
+def test_warc_keeps_each_row(spark):
+    pages = [(1, "a", "same"), (1, "b", "same"), (1, "a", "same"), (3, "c", "same"), (3, "c", "same"), (3, "d", "same"), (None, "e", "same"), (None, None, None), (None, None, None), (None, "f", ""), (7, None, "own"), (8, "g", "own")]
+    path = __import__("sunfleet.llm.shared", fromlist=["new_path"]).new_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), path, archive_records=4)
+    found = warc.assemble(warc.read_records(spark, path)).collect()
+    firsts = {"same": 1, "own": 7}
+    expect = Counter((p, u, len(h or ""), warc.base32_sha1((h or "").encode()), "response" if p in (None, firsts.get(h)) else "revisit", None if p in (None, firsts.get(h)) else firsts[h]) for p, u, h in pages)
+    assert Counter((r.page_id, r.uri, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expect
+    assert len({r.response.id for r in found}) == len({r.request.id for r in found}) == len({r.metadata.id for r in found}) == len(pages)
