@@ -417,11 +417,8 @@ def softmax_class(spark, d):
 
 @query("trajectory_clusters")
 def trajectory_clusters(spark, d):
-    series = table(spark, d, "embeddings").select(F.col("vec_id").alias("plant"), F.slice("embedding", 1, 12).cast("array<double>").alias("series"))
-    import numpy as np
-
-    fitted = series.orderBy(F.xxhash64("plant"), "plant").limit(60).toPandas()
-    return learn.TrajectoryClusters(4, 3).fit(np.stack(fitted["series"])).predict(series)
+    series = table(spark, d, "embeddings").select(F.col("vec_id").alias("plant"), F.col("embedding").cast("array<double>").alias("series"))
+    return learn.TrajectoryClusters(4, 50).fit(learn.sampled(series)).predict(series)
 
 
 @query("classified_series")

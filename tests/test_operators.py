@@ -277,3 +277,58 @@ def test_streams(spark, tmp_path):
     assert monitor.sessions(df).count() == 1
     history = monitor.run_online(spark.range(50).select(F.col("id").cast("int").alias("t_idx")), lambda part, t: {"action": "retrain_triggered", "n": part.count()}, 20, 15, lambda part, t: (1.0, 0.5))
     assert [(h["t"], h["n"], h["verdict"]) for h in history] == [(20, 20, "improved"), (35, 20, "improved")]
+
+
+def test_soft_dtw_is_the_sum_over_all_alignments():
+    a, b, gamma = RNG.normal(size=3), RNG.normal(size=(2, 4)), 0.7
+    paths, open_ = [], [[(0, 0)]]
+    while open_:
+        path = open_.pop()
+        i, j = path[-1]
+        if (i, j) == (2, 3):
+            paths.append(path)
+        open_ += [[*path, (k, g)] for k, g in ((i + 1, j), (i, j + 1), (i + 1, j + 1)) if k <= 2 and g <= 3]
+    distances, alignments = learn.soft_dtw_many(a, b, gamma)
+    for s, distance, alignment in zip(b, distances, alignments, strict=True):
+        weights = np.array([np.exp(-sum((a[i] - s[j]) ** 2 for i, j in path) / gamma) for path in paths])
+        expect = np.zeros((3, 4))
+        for w, path in zip(weights / weights.sum(), paths, strict=True):
+            for i, j in path:
+                expect[i, j] += w
+        assert abs(distance + gamma * np.log(weights.sum())) < 1e-9 and np.allclose(alignment, expect)
+
+
+def test_trajectory_clusters_use_whole_series(spark, tmp_path):
+    from sunfleet.plans.quality import trajectory_clusters
+
+    t = np.arange(64)
+    shapes = [np.sin(t / 4), t / 20, np.sign(np.sin(t / 10)), np.cos(t / 9) ** 2]
+    rows = [(i, [0.1 * k for k in range(12)] + [float(v) for v in (shapes[i % 4] + RNG.normal(0, 0.3, 64))[12:]]) for i in range(66)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.plant: r.cluster for r in trajectory_clusters(spark, str(tmp_path)).collect()}
+    held = df.orderBy(F.xxhash64("vec_id"), "vec_id").collect()
+    x = np.array([r.embedding for r in held])
+    x = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, keepdims=True)
+
+    def brute(c, s):
+        w = np.exp(-((c[:, None] - s[None]) ** 2))
+        f, b = np.zeros((66, 66)), np.zeros((66, 66))
+        f[0, 0] = b[65, 65] = 1.0
+        for i in range(1, 65):
+            for j in range(1, 65):
+                f[i, j] = w[i - 1, j - 1] * (f[i - 1, j - 1] + f[i - 1, j] + f[i, j - 1])
+                b[65 - i, 65 - j] = w[64 - i, 64 - j] * (b[66 - i, 66 - j] + b[65 - i, 66 - j] + b[66 - i, 65 - j])
+        return -np.log(f[64, 64]), (f * b)[1:65, 1:65] / w / f[64, 64]
+
+    centres, labels = x[np.random.default_rng(42).choice(66, 4, replace=False)].copy(), None
+    for _ in range(50):
+        found = [[brute(c, s) for c in centres] for s in x]
+        new = [int(np.argmin([f[0] for f in row])) for row in found]
+        if new == labels:
+            break
+        labels = new
+        for c in set(labels):
+            own = [i for i in range(66) if labels[i] == c]
+            centres[c] = sum(found[i][c][1] @ x[i] for i in own) / sum(found[i][c][1].sum(axis=1) for i in own)
+    assert got == {r.vec_id: int(np.argmin([brute(c, s)[0] for c in centres])) for r, s in zip(held, x, strict=True)}
