@@ -317,8 +317,8 @@ def distance_graph(spark, d):
 
 @query("nearest_neighbour_graph", f"WITH {PLANTS}, far AS (SELECT plant, lat * 10 - 400 AS lat, lon FROM plants WHERE plant <= 12), e AS (SELECT a.plant AS src, b.plant AS dst, {HAVERSINE} AS dist_km FROM far a JOIN far b ON a.plant <> b.plant), n AS (SELECT src, arg_min(dst, (dist_km, dst)) AS dst, min(dist_km) AS dist_km FROM e GROUP BY src), u AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, round(dist_km, 4) AS dist_km FROM n) SELECT * FROM u UNION ALL SELECT dst, src, dist_km FROM u")
 def nearest_neighbour_graph(spark, d):
-    far = plants(spark, d).where("plant <= 12").withColumn("lat", F.col("lat") * 10 - 400)
-    return rounded(graph.distance_graph(far, 0.0001).select("src", "dst", "dist_km"), 4)
+    far = plants(spark, d).withColumn("lat", F.col("lat") * 10 - 400)
+    return rounded(graph.nearest_graph(far).select("src", "dst", "dist_km"), 4)
 
 
 @query("edge_attention", f"WITH {PLANTS}, e AS (SELECT a.plant AS src, b.plant AS dst, {HAVERSINE} AS dist_km FROM plants a JOIN plants b ON a.plant <> b.plant), s AS (SELECT *, (src % 7 - 3) * ln(1 + 1 / (dist_km + 1e-6)) AS x FROM e WHERE dist_km < 60 AND dist_km > 0.001), m AS (SELECT *, exp(x - max(x) OVER (PARTITION BY dst)) AS w FROM s) SELECT dst, round(sum(w * (src % 11)) / (sum(w) + 1e-12), 5) AS message FROM m GROUP BY dst")
@@ -435,7 +435,7 @@ def classified_series(spark, d):
   SELECT plant, time, round(sine, 5) AS sine, round(CASE WHEN sine > 1e-3 THEN 1.098::DOUBLE * sine * exp(-0.057::DOUBLE / sine) ELSE 0 END, 5) AS ghi_cs FROM e""")
 def sun_geometry(spark, d):
     t = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("time")).distinct()
-    p = plants(spark, d).where("plant <= 5").crossJoin(F.broadcast(t))
+    p = plants(spark, d).crossJoin(F.broadcast(t))
     sine = elevation_sine(F.col("time"), F.col("lat"), F.col("lon"))
     return rounded(p.select("plant", F.col("time").cast("timestamp_ntz").alias("time"), sine.alias("sine")).withColumn("ghi_cs", clear_sky_kw(F.col("sine"))), 5)
 
