@@ -259,7 +259,7 @@ def nearest_site(spark, d):
 )
 def nearest_in_time(spark, d):
     left = table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("key"), F.col("o_orderdate").alias("time"), "o_orderkey")
-    rows = table(spark, d, "lineitem").where("l_linenumber = 3").select((F.col("l_suppkey") % 100).cast("bigint").alias("key"), F.col("l_shipdate").alias("time"), F.col("l_extendedprice").cast("double").alias("v"))
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 100).cast("bigint").alias("key"), F.col("l_shipdate").alias("time"), F.col("l_extendedprice").cast("double").alias("v"))
     right = rows.groupBy("key", "time").agg(F.max("v").alias("v"))
     return align.nearest_in_time(left, right, "key", "time", ["v"]).select("o_orderkey", "matched", "v")
 

@@ -32,3 +32,7 @@ def test_sun_geometry_has_all_plants(spark):
 
 def test_nearest_neighbour_graph_has_all_plants(spark):
     against_sql(spark, "sf0.01", "nearest_neighbour_graph", " WHERE plant <= 12")
+
+
+def test_nearest_in_time_has_all_readings(spark):
+    against_sql(spark, "sf0.001", "nearest_in_time", " WHERE l_linenumber = 3")
