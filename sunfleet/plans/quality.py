@@ -484,6 +484,6 @@ def exploded_weather(spark, d):
 
 @query("window_quality", f"WITH {QUALITY}, l AS (SELECT plant, arg_max(pow(coalesce(m1, 0) * coalesce(m2, 0) * coalesce(m3, 0) * coalesce(m4, 0) * coalesce(m5, 0), 0.2), t_idx) AS q FROM quality WHERE t_idx < 1500 GROUP BY 1) SELECT plant, round(q, 5) AS qs_last, round(coalesce((SELECT avg(q) FROM l WHERE q > 0), 0), 5) AS qs_mean FROM l")
 def window_quality(spark, d):
-    return rounded(continual.window_quality(scored(spark, d).where("t_idx < 1500")), 5)
+    return rounded(continual.window_quality(scored(spark, d)), 5)
 
 

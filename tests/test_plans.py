@@ -36,3 +36,7 @@ def test_nearest_neighbour_graph_has_all_plants(spark):
 
 def test_nearest_in_time_has_all_readings(spark):
     against_sql(spark, "sf0.001", "nearest_in_time", " WHERE l_linenumber = 3")
+
+
+def test_window_quality_is_at_the_last_step(spark):
+    against_sql(spark, "sf0.001", "window_quality", " WHERE t_idx < 1500")
