@@ -332,3 +332,35 @@ def test_trajectory_clusters_use_whole_series(spark, tmp_path):
             own = [i for i in range(66) if labels[i] == c]
             centres[c] = sum(found[i][c][1] @ x[i] for i in own) / sum(found[i][c][1].sum(axis=1) for i in own)
     assert got == {r.vec_id: int(np.argmin([brute(c, s)[0] for c in centres])) for r, s in zip(held, x, strict=True)}
+
+
+def test_report_has_weekly_clusters(spark):
+    def scores(days):
+        rows = [(p, i, dt.datetime(2020, 1, 6) + dt.timedelta(days=i), 0.5 + 0.4 * float(np.sin(i / (3 + p % 2 * 9))) + 0.01 * p) for p in range(8) for i in range(days)]
+        return spark.createDataFrame(rows, "plant int, t_idx int, time timestamp, qs double")
+
+    df = scores(70)
+    weeks = np.array([[np.mean([0.5 + 0.4 * np.sin(i / (3 + p % 2 * 9)) + 0.01 * p for i in range(7 * w, 7 * w + 7)]) for w in range(10)] for p in range(8)])
+    order = [r.plant for r in spark.range(8).select(F.col("id").cast("int").alias("plant")).orderBy(F.xxhash64("plant"), "plant").collect()]
+    model = learn.TrajectoryClusters()
+    assert model.rounds == 50
+    expect = model.fit(weeks[order]).assign(weeks)
+    assert {r.plant: r.cluster for r in diagnose.report(df, 20)[0].collect()} == dict(enumerate(expect.tolist()))
+    assert {r.cluster for r in diagnose.report(scores(21), 20)[0].collect()} == {None}
+
+
+def test_labelled_windows(spark):
+    rows = [(p, i, None if (i * 7 + p) % 10 < (8 if p == 2 else 3) else i / 100, "fault" if p == 1 and i >= 30 else "normal") for p in range(3) for i in range(61)]
+    df = spark.createDataFrame(rows, "plant int, t_idx int, qs double, cause string")
+    got = {(r.plant, r.t): (r.series, r.label) for r in learn.labelled_windows(df, "cause", 20, 10).collect()}
+    expect = {}
+    for p in range(3):
+        own = [r for r in rows if r[0] == p]
+        for t in range(20, 61, 10):
+            w = own[t - 20 : t]
+            if sum(r[2] is not None for r in w) >= 0.3 * 20:
+                expect[p, t] = ([0.5 if r[2] is None else r[2] for r in w], w[-1][3])
+    assert got == expect and {p for p, _ in expect} == {0, 1}
+    thinned = learn.undersampled(learn.labelled_windows(df, "cause", 20, 10), factor=1, least=2).collect()
+    faults = sum(label == "fault" for _, label in expect.values())
+    assert sum(r.label == "fault" for r in thinned) == faults and sum(r.label == "normal" for r in thinned) == max(faults, 2) < len(expect) - faults
