@@ -16,8 +16,8 @@ from sunfleet.llm.words import range_hashes, text_buffer
 
 NAME = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
-#: Pieces that a task remembers at most; then it begins anew.
-REMEMBERED = 400_000
+#: Pieces, and bytes of them, that a task remembers at most; then it begins anew.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 1 << 26
 _BLANK = np.zeros(256, bool)
 _BLANK[:0x21] = True
 _CUT = np.zeros(256, bool)
@@ -43,6 +43,7 @@ class Encoder:
     def _forget(self) -> None:
         self.known, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.bytes_at, self.bytes_n, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _slow(self, text: str) -> list[int]:
         if self.whole is None:
@@ -77,6 +78,25 @@ class Encoder:
         keys = np.concatenate([self.known, hashes])
         order = np.argsort(keys, kind="stable")
         self.known, self.start, self.count = keys[order], np.concatenate([self.start, starts])[order], np.concatenate([self.count, counts])[order]
+        size = np.array([len(p) for p in pieces], np.int64)
+        self.bytes_at = np.concatenate([self.bytes_at, len(self.bytes) + np.cumsum(size) - size])[order]
+        self.bytes_n = np.concatenate([self.bytes_n, size])[order]
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
+
+    def _differing(self, raw: np.ndarray, begin: np.ndarray, stop: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The pieces raw[begin:stop] that are not, byte by byte, the remembered pieces `of`."""
+        n = stop - begin
+        other = n != self.bytes_n[of]
+        same = np.flatnonzero(~other)
+        for i in range(0, len(same), 1 << 16):
+            own = same[i : i + (1 << 16)]
+            size = n[own]
+            ends = np.cumsum(size)
+            inner = np.arange(ends[-1])
+            here = raw[inner + np.repeat(begin[own] - (ends - size), size)]
+            wrong = np.flatnonzero(here != self.bytes[inner + np.repeat(self.bytes_at[of[own]] - (ends - size), size)])
+            other[own[np.searchsorted(ends, wrong, "right")]] = True
+        return np.flatnonzero(other)
 
     def encode(self, column: pa.Array, end: int | None = None, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts (uint32), one after another, and where each text's begin; `end` is put after each text. A null
@@ -94,7 +114,7 @@ class Encoder:
             stop = np.append(begin[1:], len(raw))
             hashes = range_hashes(raw, begin, stop)
             distinct, first, where = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(self.known) > REMEMBERED:
+            if len(self.known) > REMEMBERED or len(self.bytes) > REMEMBERED_BYTES:
                 self._forget()
             place = np.searchsorted(self.known, distinct)
             new = np.ones(len(distinct), bool)
@@ -104,7 +124,15 @@ class Encoder:
                 data = raw.tobytes()
                 self._remember(distinct[new], [data[b:e] for b, e in zip(begin[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
                 place = np.searchsorted(self.known, distinct)
-            starts, counts = self.start[place][where], self.count[place][where]
+            of = place[where]
+            starts, counts = self.start[of], self.count[of]
+            other = self._differing(raw, begin, stop, of)
+            if len(other):  # a hash of other bytes: these pieces are encoded by themselves
+                own = [np.array(self.fast.encode_ordinary(raw[b:e].tobytes().decode()), np.uint32) for b, e in zip(begin[other], stop[other], strict=True)]
+                counts[other] = [len(x) for x in own]
+                starts[other] = self.used + np.cumsum(counts[other]) - counts[other]
+                self.pool = np.concatenate([self.pool[: self.used], *own])
+                self.used = len(self.pool)
             sums = np.concatenate([[0], np.cumsum(counts)])
             bounds = sums[np.searchsorted(begin, at)]
         else:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+#: Longer words are hashed one by one; shorter ones eight bytes at a time, all words of a piece together.
+LONG_WORD = 64
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _table(separators) -> np.ndarray:
@@ -55,20 +58,35 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 #: Bytes that are worked on at a time, so that the intermediate arrays stay in the processor's cache.
 _PIECE = 1 << 17
-_powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) <= n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            table = np.full(max(n, _PIECE * 2) + 1, base, np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
+def byte_hashes(padded: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of padded[begin:end] for ranges of any place and length; `padded` has eight bytes more than the ranges use.
+
+    Eight bytes at a time are mixed into the state, so that ranges of one length up to eight bytes never collide and others
+    do by chance only; ranges over LONG_WORD have their blake2b digest.
+    """
+    n = end - begin
+    lanes = np.ndarray((max(len(padded) - 7, 0),), "<u8", np.ascontiguousarray(padded).data, strides=(1,))
+    out = mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + _BASE)
+    if not len(n):
+        return out
+    out = mix(out ^ (lanes[begin] & _LANE[np.minimum(n, 8)]))
+    short = np.flatnonzero((n > 8) & (n <= LONG_WORD))
+    for lane in range(8, LONG_WORD, 8):
+        if not len(short):
+            break
+        out[short] = mix(out[short] ^ (lanes[begin[short] + lane] & _LANE[np.minimum(n[short] - lane, 8)]))
+        short = short[n[short] > lane + 8]
+    for i in np.flatnonzero(n > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[begin[i] : end[i]].data, digest_size=8).digest(), "little")
+    return out
 
 
 def _piece(raw: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    folded = _FOLD[raw]
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    folded = padded[: len(raw)]
+    np.take(_FOLD, raw, out=folded)
     inside = ~separators[folded]
     turn = np.empty(len(raw) + 1, bool)
     turn[0], turn[-1] = inside[0], inside[-1]
@@ -80,14 +98,11 @@ def _piece(raw: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tuple[np.
     if len(inner):
         inner = np.unique(inner)
         begin, end = np.sort(np.concatenate([begin, inner])), np.sort(np.concatenate([end, inner]))
-    up, down = _power_tables(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin
+    return byte_hashes(padded, begin, end), begin
 
 
 def words_of(column: pa.Array, separators: np.ndarray = SPACES) -> Words:
-    """The words of each text, A-Z folded. A word's hash is its polynomial in a fixed odd base modulo 2**64, mixed with its length."""
+    """The words of each text, A-Z folded. A word's hash is that of its bytes, by byte_hashes()."""
     raw, at = text_buffer(column)
     hashes, counts, i, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0, len(at) - 1
     with np.errstate(over="ignore"):
@@ -141,11 +156,8 @@ def range_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     with np.errstate(over="ignore"):
         while i < len(begin):
             j = max(i + 1, int(np.searchsorted(end, begin[i] + _PIECE, "right")))
-            own = raw[begin[i] : end[j - 1]]
-            up, down = _power_tables(len(own))
-            sums = np.zeros(len(own) + 1, np.uint64)
-            np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[: len(own)], out=sums[1:])
-            b, e = begin[i:j] - begin[i], end[i:j] - begin[i]
-            out[i:j] = mix((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            padded = np.zeros(end[j - 1] - begin[i] + 8, np.uint8)
+            padded[:-8] = raw[begin[i] : end[j - 1]]
+            out[i:j] = byte_hashes(padded, begin[i:j] - begin[i], end[i:j] - begin[i])
             i = j
     return out

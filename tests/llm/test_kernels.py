@@ -25,6 +25,37 @@ def test_words_are_split_and_folded():
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n, swap=False):
+    """Words on which polynomials modulo 2**64 collide whatever their base."""
+    return "".join("ab"[(i.bit_count() & 1) ^ swap] for i in range(n))
+
+
+def test_unlike_words_have_unlike_hashes():
+    texts = [thue_morse(n, x) for n in (1024, 2048, 4096) for x in (False, True)]
+    for n in range(1, 3 * words.LONG_WORD):
+        texts += ["a" * n, "a" * (n - 1) + "b", "b" + "a" * (n - 1) if n > 1 else "c", "a" * n + "\0"]
+    w = words.words_of(pa.array(texts))
+    assert len(w.hashes) == len(texts) and len(set(w.hashes.tolist())) == len(set(texts))
+    raw, at = words.text_buffer(pa.array(texts))
+    h = words.range_hashes(raw, at[:-1], at[1:])
+    assert (h == w.hashes).all()
+
+
+def test_encoder_tells_pieces_apart_that_share_a_hash(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [thue_morse(2048), thue_morse(2048, True), "some words here", "more words there", "some words here", ""]
+    for broken in (False, True):
+        if broken:
+            monkeypatch.setattr(tokens, "range_hashes", lambda raw, begin, end: (end - begin).astype(np.uint64) % np.uint64(3))
+        encoder = tokens.Encoder()
+        for _ in range(2):
+            ids, at = encoder.encode(pa.array(texts))
+            assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n", max_size=300000 // 1000), max_size=20))
 def test_words_do_not_run_on(texts):
