@@ -1,13 +1,22 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-The model is made and asked in two shuffles of compact blocks. Documents are dealt to chunks; a chunk sends each shard the
+The model is made and asked in shuffles of compact blocks. Documents are dealt to chunks; a chunk sends each shard the
 distinct n-grams that fall to it, with the counts of those in learning texts. A shard adds the counts of all chunks, builds
 its part of the trie and answers each chunk with quantised probabilities. The chunk then scores its texts. No task ever
-holds more than a chunk or a shard, whatever the corpus; an n-gram's shard is given by its first word, and for frequent
-first words by the first two.
+holds more than about a chunk or a shard, whatever the corpus. An n-gram's shard is given by its first word; for frequent
+first words by the first two; and by all three where both are as frequent as a whole shard.
+
+A chunk sends at most FAN blocks: with more shards, the blocks go to groups of shards, are merged there FAN at a time, and
+are dealt on; answers come back the same way. So blocks grow in proportion to the corpus, with a further hop for each
+factor of FAN.
+
+Words are told apart by 64-bit hashes, in blocks as in the trie: the words of a bounded codebook, the CODEBOOK most frequent
+ones, are sent as 16-bit codes and all others as their hashes.
 
 Probabilities are those of a Dirichlet-smoothed trigram model: p(w | h) = (c(hw) + mu * p(w | h')) / (c(h) + mu), down to
-(c(w) + 1) / (N + V + 1). What the trie holds of an n-gram is c(hw) / (c(h) + mu).
+(c(w) + 1) / (N + V + 1). What the trie holds of an n-gram is c(hw) / (c(h) + mu); for trigrams that are dealt by all three
+words, whose context's count their shard doesn't know, it is the share in the first word's count, and the chunk brings it to
+the context's. The count of a two-word context, which gives its weight, comes from that context's own quantised probability.
 """
 
 from __future__ import annotations
@@ -20,16 +29,17 @@ import zstandard
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sunfleet.llm.shared import stored
 from sunfleet.llm.trie import Trie, dequantise
-from sunfleet.llm.words import slices, text_buffer, words_of
+from sunfleet.llm.words import Words, mix, slices, text_buffer, words_of
 
 #: Pseudo-counts of the shorter context.
 MU2, MU3 = 500.0, 20.0
 #: Tokens of a chunk and of a shard, about.
 CHUNK_TOKENS, SHARD_TOKENS = 800_000, 1_000_000
-#: Words with fewer tokens are never frequent: their n-grams stay in one shard.
-RARE = 32
+#: Blocks that a chunk, or a group of shards, sends at most.
+FAN = 1024
+#: Words that are broadcast, with 16 bytes each; the code after the last one announces a hash.
+CODEBOOK = 65_535
 #: Bytes of text that a task gathers before it packs them by chunk.
 PACK_BYTES = 32 << 20
 #: Hashes that stand for the begin and the end of a text; no word has them but by a 64-bit collision.
@@ -42,15 +52,6 @@ def _ints(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _planes(x: np.ndarray) -> list[np.ndarray]:
-    """24-bit numbers as three arrays of bytes."""
-    return [(x >> s & 0xFF).astype(np.uint8) for s in (0, 8, 16)]
-
-
-def _joined(planes: list[np.ndarray]) -> np.ndarray:
-    return sum(p.astype(np.uint32) << np.uint32(8 * i) for i, p in enumerate(planes))
-
-
 def pack_arrays(arrays: list[np.ndarray]) -> bytes:
     small = [_ints(a) for a in arrays]
     head = np.array([x for a in small for x in (a.itemsize, len(a))], np.int64)
@@ -67,101 +68,203 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-class Grams:
-    """The distinct 1-, 2- and 3-grams of a chunk as three sorted levels, and the place of each token's in them."""
-
-    def __init__(self, texts: pa.Array, held_out: np.ndarray):
-        words = words_of(texts)
-        self.n_tokens = words.counts() + 1
-        n = len(self.n_tokens)
-        # a text is BEGIN, its words, END
-        size = self.n_tokens + 1
-        self.starts = np.concatenate([[0], np.cumsum(size)])
-        seq = np.full(self.starts[-1], BEGIN, _U)
-        seq[self.starts[1:] - 1] = END
-        inner = np.arange(len(words.hashes)) + np.repeat(2 * np.arange(n) + 1, words.counts())
-        seq[inner] = words.hashes
-        learned = np.repeat(~held_out, size)
-        last = np.zeros(len(seq), bool)
-        last[self.starts[1:] - 1] = True
-        self.is_token = np.ones(len(seq), bool)
-        self.is_token[self.starts[:-1]] = False
-        mark = (seq >> _U(32)).astype(np.uint32)
-
-        self.roots, self.root_of = np.unique(seq, return_inverse=True)
-        self.root_n = np.bincount(self.root_of[learned & self.is_token], minlength=len(self.roots))
-        two = np.flatnonzero(~last)
-        keys, at = np.unique(self.root_of[two].astype(_U) << _U(32) | mark[two + 1].astype(_U), return_inverse=True)
-        self.parent2, self.word2 = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.uint32)
-        self.n2 = np.bincount(at[learned[two]], minlength=len(keys))
-        self.two_of = np.full(len(seq), -1, np.int64)
-        self.two_of[two] = at
-        three = two[~last[two + 1]]
-        keys, at = np.unique(self.two_of[three].astype(_U) << _U(32) | (mark[three + 2] >> 8).astype(_U), return_inverse=True)
-        self.parent3, self.word3 = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.uint32)
-        self.n3 = np.bincount(at[learned[three]], minlength=len(keys))
-        self.three_of = np.full(len(seq), -1, np.int64)
-        self.three_of[three] = at
-
-    def dealt(self, shards: int, hot: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(shard, roots, bigrams, trigrams) by number, for each shard to which some fall. A root is with its home shard and
-        with the shards of its bigrams."""
-        home = (self.roots % _U(shards)).astype(np.int64)
-        shard2 = home[self.parent2]
-        spread = np.isin(self.roots, hot)[self.parent2]
-        shard2[spread] = ((self.roots[self.parent2[spread]] ^ (self.word2[spread].astype(_U) * _U(0x9E3779B97F4A7C15))) % _U(shards)).astype(np.int64)
-        shard3 = shard2[self.parent3]
-        order1, order2, order3 = (np.argsort(x, kind="stable") for x in (home, shard2, shard3))
-        cut1, cut2, cut3 = (np.searchsorted(x[o], np.arange(shards + 1)) for x, o in ((home, order1), (shard2, order2), (shard3, order3)))
-        for s in range(shards):
-            twos = order2[cut2[s] : cut2[s + 1]]
-            roots = np.union1d(order1[cut1[s] : cut1[s + 1]], self.parent2[twos])
-            if len(roots):
-                yield s, roots, twos, order3[cut3[s] : cut3[s + 1]]
-
-    def request(self, shard: int, shards: int, roots: np.ndarray, twos: np.ndarray, threes: np.ndarray) -> bytes:
-        at_home = self.roots[roots] % _U(shards) == _U(shard)
-        of2 = np.bincount(np.searchsorted(roots, self.parent2[twos]), minlength=len(roots))
-        of3 = np.bincount(np.searchsorted(twos, self.parent3[threes]), minlength=len(twos))
-        return pack_arrays([self.roots[roots], self.root_n[roots] * at_home, of2, self.word2[twos], self.n2[twos], of3, self.n3[threes], *_planes(self.word3[threes])])
-
-
-def answers(blobs: list[bytes], hot: np.ndarray, hot_n: np.ndarray) -> list[bytes]:
-    """What a shard answers to the requests of all chunks: for each, counts of roots and codes of bigrams and trigrams."""
-    asked = [unpack_arrays(b) for b in blobs]
-
-    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, np.concatenate(counts).astype(np.float64), minlength=len(distinct)).astype(np.int64)
-        return distinct, total, np.split(where.astype(np.int32), np.cumsum([len(k) for k in keys])[:-1])
-
-    roots, root_n, where1 = merged([a[0].astype(_U) for a in asked], [a[1] for a in asked])
-    key2 = [np.repeat(w, a[2]).astype(_U) << _U(32) | a[3].astype(_U) for w, a in zip(where1, asked, strict=True)]
-    twos, n2, where2 = merged(key2, [a[4] for a in asked])
-    key3 = [np.repeat(w, a[5]).astype(_U) << _U(32) | _joined(a[7:10]).astype(_U) for w, a in zip(where2, asked, strict=True)]
-    threes, n3, where3 = merged(key3, [a[6] for a in asked])
-
-    # counts as a context: of frequent words they are known, other words have all their bigrams here
-    context = np.bincount((twos >> _U(32)).astype(np.int64), n2, minlength=len(roots)).astype(np.int64)
-    known = np.isin(roots, hot)
-    context[known] = hot_n[np.searchsorted(hot, roots[known])]
-    # only what learning texts hold goes into the trie
-    keep1 = np.flatnonzero((context > 0) | (root_n > 0))
-    keep2, keep3 = n2 > 0, n3 > 0
-    new1 = np.full(len(roots), -1)
-    new1[keep1] = np.arange(len(keep1))
-    new2 = np.cumsum(keep2) - 1
-    parent2, parent3 = (twos[keep2] >> _U(32)).astype(np.int64), (threes[keep3] >> _U(32)).astype(np.int64)
-    level2 = (new1[parent2], (twos[keep2] & _U(0xFFFFFFFF)).astype(np.uint32), n2[keep2] / (context[parent2] + MU2))
-    level3 = (new2[parent3], (threes[keep3] & _U(0xFFFFFFFF)).astype(np.uint32), n3[keep3] / (n2[parent3] + MU3))
-    trie = Trie(roots[keep1], root_n[keep1], [level2, level3])
-    # each distinct n-gram is looked up once, for all chunks that ask for it
-    node1 = trie.root(roots)
-    node2 = trie.child(1, node1[(twos >> _U(32)).astype(np.int64)], (twos & _U(0xFFFFFFFF)).astype(np.uint32))
-    node3 = trie.child(2, node2[(threes >> _U(32)).astype(np.int64)], (threes & _U(0xFFFFFFFF)).astype(np.uint32))
+class Codebook:
+    """The most frequent words of the learning texts, by number: their hashes (sorted) and counts, and the totals."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, ends: int, shards: int):
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+        self.total, self.distinct, self.ends, self.shards = total, distinct, ends, shards
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The numbers of words, CODEBOOK where they have none."""
+        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
+        known = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
+        return np.where(known, at, CODEBOOK)
+
+    def context_counts(self, number: np.ndarray) -> np.ndarray:
+        """Counts as a context of the words of these numbers; 0 for words that have none."""
+        padded = np.zeros(CODEBOOK + 1, np.int64)
+        padded[: len(self.words)] = np.where(self.words == BEGIN, self.ends, np.where(self.words == END, 0, self.counts))
+        return padded[np.minimum(number, CODEBOOK)]
+
+
+class Levels:
+    """Distinct 1-, 2- and 3-grams in sorted order with their counts in learning texts. A word's number stands for its hash,
+    words[number]; code has its number in the codebook. Parents are places in the level above."""
+
+    def __init__(self, words: np.ndarray, code: np.ndarray, one: tuple, two: tuple, three: tuple):
+        self.words, self.code = words, code
+        (self.root, self.n1), (self.parent2, self.word2, self.n2), (self.parent3, self.word3, self.n3) = one, two, three
+
+    def shards(self, book: Codebook) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The shard of each root, bigram and trigram."""
+        n = _U(book.shards)
+        first = self.words[self.root]
+        with np.errstate(over="ignore"):
+            home = first % n
+            # at most 8 * shards words have an eighth of a shard's tokens or more, and at most `shards` words as many as a shard
+            count = book.context_counts(self.code)
+            own = self.root[self.parent2]
+            spread2 = np.flatnonzero(count[own] >= max(1, book.total // (8 * book.shards)))
+            shard2 = home[self.parent2]
+            pair = mix(self.words[own] ^ (self.words[self.word2] * _U(0x9E3779B97F4A7C15)))
+            shard2[spread2] = pair[spread2] % n
+            self.spread3 = self.spread(book)
+            spread3 = np.flatnonzero(self.spread3)
+            shard3 = shard2[self.parent3]
+            shard3[spread3] = mix(pair[self.parent3[spread3]] ^ (self.words[self.word3[spread3]] * _U(0xD6E8FEB86659FD93))) % n
+        return home.astype(np.int64), shard2.astype(np.int64), shard3.astype(np.int64)
+
+    def spread(self, book: Codebook) -> np.ndarray:
+        """Whether a trigram is dealt by all of its words: its first two are each as frequent as a shard."""
+        whole = book.context_counts(self.code) >= max(1, -(-book.total // book.shards))
+        return (whole[self.root[self.parent2]] & whole[self.word2])[self.parent3]
+
+    def dealt(self, book: Codebook, step: int, within: tuple[int, int] | None = None) -> Iterator[Part]:
+        """Parts by target: shards' numbers are divided by `step`, and those of one quotient go together. `within` is the step
+        and the quotient of the group in which this is; what is here only as a parent may have its home elsewhere."""
+        home, to2, to3 = (s // step for s in self.shards(book))
+        goes = [_ints(x) for x in (home, to2, to3)]  # narrow integers sort by radix
+        order = [np.argsort(x, kind="stable") for x in goes]
+        targets = np.flatnonzero(sum(np.bincount(x, minlength=book.shards // step + 1) for x in (home, to2, to3)))
+        if within:
+            targets = targets[targets // (within[0] // step) == within[1]]
+        low = [np.searchsorted(x[o], targets, "left") for x, o in zip(goes, order, strict=True)]
+        high = [np.searchsorted(x[o], targets, "right") for x, o in zip(goes, order, strict=True)]
+        parent = np.zeros(len(self.root), bool)
+        for k, target in enumerate(targets.tolist()):
+            ones, twos, threes = (o[a[k] : b[k]] for o, a, b in zip(order, low, high, strict=True))
+            away = threes[self.spread3[threes]]
+            if len(away):
+                twos = np.union1d(twos, self.parent3[away])
+            parent[ones] = True
+            parent[self.parent2[twos]] = True
+            ones = np.flatnonzero(parent)
+            parent[ones] = False
+            yield Part(target, ones, twos, threes, home, to2)
+
+    def request(self, part: Part) -> bytes:
+        """The n-grams of a part and their counts. Roots and bigrams that stand there only as parents bring no counts."""
+        own = np.concatenate([self.root[part.ones], self.word2[part.twos], self.word3[part.threes]])
+        code = self.code[own]
+        of2 = np.bincount(np.searchsorted(part.ones, self.parent2[part.twos]), minlength=len(part.ones))
+        of3 = np.bincount(np.searchsorted(part.twos, self.parent3[part.threes]), minlength=len(part.twos))
+        n1, n2 = self.n1[part.ones] * part.home1, self.n2[part.twos] * part.home2
+        return pack_arrays([code & 0xFF, code >> 8, self.words[own[code == CODEBOOK]], n1, of2, n2, of3, self.n3[part.threes]])
+
+
+class Part:
+    """What goes to one target: places of roots, bigrams and trigrams, and which of the first two are at home there."""
+
+    def __init__(self, target: int, ones: np.ndarray, twos: np.ndarray, threes: np.ndarray, home: np.ndarray, to2: np.ndarray):
+        self.target, self.ones, self.twos, self.threes = target, ones, twos, threes
+        self.home1, self.home2 = home[ones] == target, to2[twos] == target
+
+
+class Answers:
+    """What comes back for Levels: counts of roots, codes of bigrams and trigrams."""
+
+    def __init__(self, levels: Levels):
+        self.count, self.code2, self.code3 = np.zeros(len(levels.root), np.int64), np.zeros(len(levels.word2), np.uint16), np.zeros(len(levels.word3), np.uint16)
+
+    def take(self, part: Part, blob: bytes) -> None:
+        count, code2, code3 = unpack_arrays(blob)
+        self.count[part.ones[part.home1]] = count[part.home1]
+        self.code2[part.twos[part.home2]] = code2[part.home2]
+        self.code3[part.threes] = code3
+
+
+def chunk_levels(words: Words, held_out: np.ndarray, book: Codebook) -> tuple[Levels, dict[str, np.ndarray]]:
+    """The n-grams of a chunk's texts, and for each place of the texts (BEGIN, words, END) those that begin there, with where
+    the texts begin and which places are tokens."""
+    n_tokens = words.counts() + 1
+    n, size = len(n_tokens), n_tokens + 1
+    starts = np.concatenate([[0], np.cumsum(size)])
+    seq = np.full(starts[-1], BEGIN, _U)
+    seq[starts[1:] - 1] = END
+    seq[np.arange(len(words.hashes)) + np.repeat(2 * np.arange(n) + 1, words.counts())] = words.hashes
+    learned = np.repeat(~held_out, size)
+    last = np.zeros(len(seq), bool)
+    last[starts[1:] - 1] = True
+    is_token = np.ones(len(seq), bool)
+    is_token[starts[:-1]] = False
+
+    hashes, one_of = np.unique(seq, return_inverse=True)
+    n1 = np.bincount(one_of[learned & is_token], minlength=len(hashes))
+    two = np.flatnonzero(~last)
+    keys, at = np.unique(one_of[two].astype(_U) << _U(32) | one_of[two + 1].astype(_U), return_inverse=True)
+    level2 = ((keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64), np.bincount(at[learned[two]], minlength=len(keys)))
+    two_of = np.full(len(seq), -1, np.int64)
+    two_of[two] = at
+    three = two[~last[two + 1]]
+    keys, at = np.unique(two_of[three].astype(_U) << _U(32) | one_of[three + 2].astype(_U), return_inverse=True)
+    level3 = ((keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64), np.bincount(at[learned[three]], minlength=len(keys)))
+    three_of = np.full(len(seq), -1, np.int64)
+    three_of[three] = at
+    levels = Levels(hashes, book.numbers(hashes), (np.arange(len(hashes)), n1), level2, level3)
+    return levels, {"starts": starts, "is_token": is_token, "one_of": one_of, "two_of": two_of, "three_of": three_of, "n_tokens": n_tokens}
+
+
+class Merged:
+    """The n-grams of several blocks as one, and for each block where its own are."""
+
+    def __init__(self, blobs: list[bytes], book: Codebook):
+        asked = [unpack_arrays(b) for b in blobs]
+        sizes = np.array([[len(a[3]), len(a[5]), len(a[7])] for a in asked], np.int64).reshape(-1, 3)
+        join = lambda k: np.concatenate([np.zeros(0, np.int64), *[a[k].astype(np.int64) for a in asked]])
+        # hashes that are not in the codebook have the numbers from CODEBOOK on
+        others, at = np.unique(np.concatenate([np.zeros(0, _U), *[a[2].astype(_U) for a in asked]]), return_inverse=True)
+        number = join(0) | join(1) << 8
+        number[number == CODEBOOK] = CODEBOOK + at
+        kind = np.repeat(np.tile(np.arange(3), len(asked)), sizes.ravel())
+        self.width = CODEBOOK + len(others) + 1
+        words = np.zeros(self.width, _U)
+        words[: len(book.words)] = book.words
+        words[CODEBOOK:-1] = others
+        merged, self.where, above = [], [], None
+        for level, (of, n) in enumerate(((None, 3), (4, 5), (6, 7))):
+            key = number[kind == level].astype(_U)
+            if of is not None:
+                key += np.repeat(above, join(of)).astype(_U) * _U(self.width)
+            distinct, at = np.unique(key, return_inverse=True)
+            total = np.bincount(at, join(n), minlength=len(distinct)).astype(np.int64)
+            word = (distinct % _U(self.width)).astype(np.int64)
+            merged.append((word, total) if of is None else ((distinct // _U(self.width)).astype(np.int64), word, total))
+            self.where.append(np.split(at, np.cumsum(sizes[:-1, level])) if len(asked) else [])
+            above = at
+        self.levels = Levels(words, np.minimum(np.arange(self.width), CODEBOOK), *merged)
+
+    def replies(self, count: np.ndarray, code2: np.ndarray, code3: np.ndarray) -> list[bytes]:
+        return [pack_arrays([count[a], code2[b], code3[c]]) for a, b, c in zip(*self.where, strict=True)]
+
+
+def answers(blobs: list[bytes], book: Codebook) -> list[bytes]:
+    """What a shard answers to all blocks: for each, counts of roots and codes of bigrams and trigrams."""
+    merged = Merged(blobs, book)
+    x = merged.levels
+    # counts as a context: of words in the codebook they are known, other words have all their bigrams here
+    context = np.bincount(x.parent2, x.n2, minlength=len(x.root)).astype(np.int64)
+    known = x.root < CODEBOOK
+    context[known] = book.context_counts(x.root[known])
+    share = x.n3 / (x.n2[x.parent3] + MU3)
+    away = x.spread(book)
+    share[away] = x.n3[away] / (context[x.parent2[x.parent3[away]]] + MU2)
+    # only what learning texts hold goes into the trie, and what it hangs on
+    keep3 = x.n3 > 0
+    keep2 = x.n2 > 0
+    keep2[x.parent3[keep3]] = True
+    keep1 = x.n1 > 0
+    keep1[x.parent2[keep2]] = True
+    new1, new2 = np.cumsum(keep1) - 1, np.cumsum(keep2) - 1
+    level2 = (new1[x.parent2[keep2]], x.word2[keep2], x.n2[keep2] / (context[x.parent2[keep2]] + MU2))
+    trie = Trie(merged.width, x.root[keep1], x.n1[keep1], [level2, (new2[x.parent3[keep3]], x.word3[keep3], share[keep3])])
+    # each distinct n-gram is looked up once, for all blocks that ask for it
+    node1 = trie.root(x.root)
+    node2 = trie.child(1, node1[x.parent2], x.word2)
+    node3 = trie.child(2, node2[x.parent3], x.word3)
     count = np.where(node1 >= 0, trie.counts[np.maximum(node1, 0)], 0) if len(trie.counts) else np.zeros(len(node1), np.int64)
-    code2, code3 = trie.code(1, node2), trie.code(2, node3)
-    return [pack_arrays([count[a], code2[b], code3[c]]) for a, b, c in zip(where1, where2, where3, strict=True)]
+    return merged.replies(count, trie.code(1, node2), trie.code(2, node3))
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -170,18 +273,27 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), "text", F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False)).alias("held_out"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """chunk, blob for doc_id, text, held_out, chunk: the rows of a chunk that a task has, compressed together."""
+def packed(docs: DataFrame, chunks: int) -> DataFrame:
+    """chunk, blob for doc_id, text, held_out: the rows of a chunk that a task has, compressed together. Rows go to chunks by
+    what they hold; the k-th of equal rows in a pack by that and k, so that no row that is often there fills a chunk."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
-            rows = rows.take(pa.array(np.argsort(rows["chunk"].to_numpy(), kind="stable"))).combine_chunks()
+            key = rows["key"].to_numpy().view(_U)
+            _, first, of, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            place = np.empty(len(key), np.int64)
+            order = np.argsort(of, kind="stable")
+            place[order] = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+            with np.errstate(over="ignore"):
+                chunk = (mix(key + place.astype(_U) * _U(0x9E3779B97F4A7C15)) % _U(chunks)).astype(np.int64)
+            order = np.argsort(chunk, kind="stable")
+            rows, chunk = rows.take(pa.array(order)).combine_chunks(), chunk[order]
             raw, at = text_buffer(rows["text"])
             ids, known = rows["doc_id"].fill_null(0).to_numpy().view(_U), rows["doc_id"].is_valid().to_numpy()
-            out, chunk = rows["held_out"].to_numpy(), rows["chunk"].to_numpy()
+            out = rows["held_out"].to_numpy()
             cut = np.append(np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)), len(chunk))
             blobs = [pack_arrays([ids[i:j], known[i:j], out[i:j], np.diff(at[i : j + 1]), raw[at[i] : at[j]]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(chunk[cut[:-1]]), pa.array(blobs, pa.binary())], ["chunk", "blob"])
@@ -196,7 +308,7 @@ def packed(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text", "held_out", "chunk").mapInArrow(pack, "chunk long, blob binary")
+    return docs.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(pack, "chunk long, blob binary")
 
 
 def unpacked(blobs: list[bytes]) -> pa.Table:
@@ -235,79 +347,107 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lm_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def lm_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS, fan: int = FAN) -> DataFrame:
     """SCORES for each row of docs.
 
     Tokens are folded words between blanks and one end for each text; a null or empty text is its end alone. Without
     learning texts all counts are zero. Repeated rows count as often as they stand; a null id is learned from. Other
-    columns are not read; an empty table gives an empty table. Words are told apart by 64-bit hashes, the second
-    word of an n-gram by 32 bits among the successors of the first, the third by 24 among those of both.
+    columns are not read; an empty table gives an empty table. A text longer than a chunk is a chunk of its own size. Words
+    are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     rows = marked(docs)
-    # totals are observed while the words that can be frequent are stored
+    # totals are observed while the codebook is picked
     seen = Observation()
     n_end = F.sum(F.when(F.col("word") == int(END.view(np.int64)), F.col("n")))
     counted = vocabulary(rows).observe(seen, F.sum("n").alias("total"), F.count("*").alias("distinct"), n_end.alias("ends"))
-    words = stored(counted.where(F.col("n") >= RARE), "vocabulary")
-    total, distinct, end_n = (seen.get.get(k) or 0 for k in ("total", "distinct", "ends"))
+    top = counted.orderBy(F.desc("n"), "word").limit(CODEBOOK - 1).toArrow()
+    total, distinct, ends = (seen.get.get(k) or 0 for k in ("total", "distinct", "ends"))
     chunks, shards = max(1, -(-total * 7 // (6 * chunk_tokens))), max(1, -(-total // shard_tokens))
-    # at most 8 * shards words have an eighth of a shard's tokens or more
-    frequent = words.where(F.col("n") >= max(1, total // (8 * shards))).orderBy("word").toArrow()
-    keys = np.append(frequent["word"].to_numpy().view(_U), BEGIN)
-    order = np.argsort(keys)
-    model = spark.sparkContext.broadcast((keys[order], np.append(frequent["n"].to_numpy(), end_n)[order]))
-    dealt = packed(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))))
+    keys, counts = np.append(top["word"].to_numpy().view(_U), BEGIN), np.append(top["n"].to_numpy(), 0)
+    model = spark.sparkContext.broadcast(Codebook(keys, counts, total, distinct, ends, shards))
+    # steps[k] shards are one target of the k-th hop
+    steps = [1]
+    while -(-shards // steps[0]) > fan:
+        steps.insert(0, steps[0] * fan)
+    dealt = packed(rows, chunks)
+    block = "target long, source long, blob binary"
+
+    def table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["target", "source", "blob"])
 
     def ask(group: pa.Table) -> pa.Table:
         rows = unpacked(group["blob"].to_pylist())
-        grams = Grams(rows["text"], rows["held_out"].to_numpy().astype(bool))
-        hot, _ = model.value
+        levels, _ = chunk_levels(words_of(rows["text"]), rows["held_out"].to_numpy().astype(bool), model.value)
         chunk = group["chunk"][0].as_py()
-        found = [(s, chunk, grams.request(s, shards, a, b, c)) for s, a, b, c in grams.dealt(shards, hot)]
-        return pa.table([pa.array(list(x), k) for x, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "chunk", "blob"])
+        return table([(p.target, chunk, levels.request(p)) for p in levels.dealt(model.value, steps[0])])
 
     def answer(group: pa.Table) -> pa.Table:
-        blobs = answers(group["blob"].to_pylist(), *model.value)
-        return pa.table([group["shard"], group["chunk"], pa.array(blobs, pa.binary())], names=["shard", "chunk", "blob"])
+        blobs = answers(group["blob"].to_pylist(), model.value)
+        return pa.table([group["target"], group["source"], pa.array(blobs, pa.binary())], names=["target", "source", "blob"])
+
+    def relay(up: int, step: int):
+        """Blocks of one target from `fan` sources, merged and dealt on; the sender is the target and the group of sources."""
+
+        def run(group: pa.Table) -> pa.Table:
+            levels, target = Merged(group["blob"].to_pylist(), model.value).levels, group["target"][0].as_py()
+            return table([(p.target, group["source"][0].as_py() // fan, levels.request(p)) for p in levels.dealt(model.value, step, (up, target))])
+
+        return run
+
+    def relay_back(up: int, step: int):
+        def run(group: pa.Table, replies: pa.Table) -> pa.Table:
+            merged = Merged(group["blob"].to_pylist(), model.value)
+            found = Answers(merged.levels)
+            by_target = dict(zip(replies["target"].to_pylist(), replies["blob"].to_pylist(), strict=True))
+            for part in merged.levels.dealt(model.value, step, (up, group["target"][0].as_py())):
+                found.take(part, by_target[part.target])
+            blobs = merged.replies(found.count, found.code2, found.code3)
+            return pa.table([group["target"], group["source"], pa.array(blobs, pa.binary())], names=["target", "source", "blob"])
+
+        return run
 
     def score(group: pa.Table, replies: pa.Table) -> pa.Table:
-        texts = unpacked(group["blob"].to_pylist())
-        held_out = texts["held_out"].to_numpy().astype(bool)
-        grams = Grams(texts["text"], held_out)
-        hot, hot_n = model.value
-        by_shard = dict(zip(replies["shard"].to_pylist(), replies["blob"].to_pylist(), strict=True))
-        count = np.zeros(len(grams.roots), np.int64)
-        p2, p3 = np.zeros(len(grams.parent2)), np.zeros(len(grams.parent3))
-        for s, roots, twos, threes in grams.dealt(shards, hot):
-            n, code2, code3 = unpack_arrays(by_shard[s])
-            at_home = grams.roots[roots] % _U(shards) == _U(s)
-            count[roots[at_home]] = n[at_home]
-            p2[twos], p3[threes] = dequantise(code2), dequantise(code3)
-        context = count.copy()
-        context[grams.roots == BEGIN] = end_n
-        base = (count + 1) / (total + distinct + 1)
-        token = np.flatnonzero(grams.is_token)
+        texts, book = unpacked(group["blob"].to_pylist()), model.value
+        levels, at = chunk_levels(words_of(texts["text"]), texts["held_out"].to_numpy().astype(bool), book)
+        by_target = dict(zip(replies["target"].to_pylist(), replies["blob"].to_pylist(), strict=True))
+        found = Answers(levels)
+        for part in levels.dealt(book, steps[0]):
+            found.take(part, by_target[part.target])
+        count, p2, p3 = found.count, dequantise(found.code2), dequantise(found.code3)
+        context = np.where(levels.words == BEGIN, book.ends, np.where(levels.words == END, 0, count))
+        # the count of a context of two words comes back from its own probability
+        weight = context[levels.parent2] + MU2
+        pairs = np.rint(p2 * weight)
+        away = levels.spread3
+        p3[away] *= (weight / (pairs + MU3))[levels.parent3[away]]
+        base = (count + 1) / (book.total + book.distinct + 1)
+        token = np.flatnonzero(at["is_token"])
         before = token - 1
-        own = grams.root_of[token]
-        # p(w | v) and then p(w | u, v); the count of a context comes back from its own probability
-        context2 = context[grams.root_of[before]]
-        whole = p2[grams.two_of[before]] + MU2 / (context2 + MU2) * base[own]
-        third = np.flatnonzero(grams.is_token[before])
-        two = grams.two_of[before[third] - 1]
-        n_context = np.rint(p2[two] * (context[grams.parent2[two]] + MU2))
-        whole[third] = p3[grams.three_of[before[third] - 1]] + MU3 / (n_context + MU3) * whole[third]
-        starts = grams.starts[:-1] - np.arange(len(held_out))
+        own = at["one_of"][token]
+        # p(w | v) and then p(w | u, v)
+        whole = p2[at["two_of"][before]] + MU2 / (context[at["one_of"][before]] + MU2) * base[own]
+        third = np.flatnonzero(at["is_token"][before])
+        two = at["two_of"][before[third] - 1]
+        whole[third] = p3[at["three_of"][before[third] - 1]] + MU3 / (pairs[two] + MU3) * whole[third]
+        starts = at["starts"][:-1] - np.arange(len(texts))
         add = lambda x: np.add.reduceat(x, starts)
         columns = [
-            texts["doc_id"], texts["held_out"], pa.array(grams.n_tokens), pa.array(add((count[own] > 0).astype(np.int64))),
-            pa.array(np.full(len(held_out), total, np.int64)), pa.array(add(np.log10(base[own]))), pa.array(add(np.log10(whole))),
+            texts["doc_id"], texts["held_out"], pa.array(at["n_tokens"]), pa.array(add((count[own] > 0).astype(np.int64))),
+            pa.array(np.full(len(texts), book.total, np.int64)), pa.array(add(np.log10(base[own]))), pa.array(add(np.log10(whole))),
         ]
         return pa.table(columns, names=[x.split(" ")[0] for x in SCORES.split(", ")])
 
-    requests = dealt.groupBy("chunk").applyInArrow(ask, "shard long, chunk long, blob binary")
-    replies = requests.groupBy("shard").applyInArrow(answer, "shard long, chunk long, blob binary")
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, SCORES)
+    hops = [dealt.groupBy("chunk").applyInArrow(ask, block)]
+    bundle = ("target", F.floor(F.col("source") / fan).alias("bundle"))
+    for up, step in zip(steps, steps[1:], strict=False):
+        hops.append(hops[-1].groupBy(*bundle).applyInArrow(relay(up, step), block))
+    replies = hops[-1].groupBy("target").applyInArrow(answer, block)
+    for hop, step, up in zip(hops[-2::-1], steps[:0:-1], steps[-2::-1], strict=True):
+        ratio = up // step
+        sent = replies.groupBy(F.floor(F.col("target") / ratio).alias("target"), F.col("source").alias("bundle"))
+        replies = hop.groupBy(*bundle).cogroup(sent).applyInArrow(relay_back(up, step), block)
+    return dealt.groupBy("chunk").cogroup(replies.groupBy(F.col("source").alias("chunk"))).applyInArrow(score, SCORES)
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:

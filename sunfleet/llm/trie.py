@@ -1,9 +1,9 @@
 """Elias-Fano n-gram trie in memory-mapped levels.
 
-Level k has its n-grams sorted by (parent, word). The words of all parents' children form one monotone sequence, as each
-word is taken relative to its context: parent number * 2**32 + word fingerprint. Both it and the pointers (where each
-parent's children begin) are Elias-Fano coded: low bits in packed words, high bits in unary. A child is found by a
-successor search between the parent's pointers. Probabilities are quantised to 16 bits of their logarithm.
+Words are numbers below `width`. Level k has its n-grams sorted by (parent, word). The words of all parents' children form
+one monotone sequence, as each word is taken relative to its context: parent number * width + word. Both it and the
+pointers (where each parent's children begin) are Elias-Fano coded: low bits in packed words, high bits in unary. A child
+is found by a successor search between its parent's pointers. Probabilities are quantised to 16 bits of their logarithm.
 """
 
 from __future__ import annotations
@@ -14,9 +14,15 @@ import tempfile
 import numpy as np
 
 _U = np.uint64
-_EVERY = 32  # ones between two samples of the select index
+_EVERY = 32  # ones, or zeros, between two samples of the select indexes
 #: Codes of log10 probabilities: 0 is "absent", 1 to 65535 go from LOWEST to 0.
 LOWEST, CODES = -13.0, 65535
+_BYTES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Place of the k-th one of a byte, at byte * 8 + k; made from its definition.
+_PLACE = np.zeros(2048, np.uint8)
+for _byte in range(256):
+    _ones = [i for i in range(8) if _byte >> i & 1]
+    _PLACE[_byte * 8 : _byte * 8 + len(_ones)] = _ones
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -30,11 +36,36 @@ def dequantise(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** (LOWEST - LOWEST * (code.astype(np.float64) - 1) / (CODES - 1)), 0.0)
 
 
+def _select(words: np.ndarray, samples: np.ndarray, flip: np.uint64, i: np.ndarray) -> np.ndarray:
+    """Where the i-th one of `words` is (the i-th zero where `flip` is all ones): from the sample before it word by word, then
+    by the running sums of a word's bytes."""
+    start = samples[i // _EVERY]
+    left = (i % _EVERY).astype(_U)
+    word = start >> 6
+    bits = (words[word] ^ flip) & (~_U(0) << (start & 63).astype(_U))
+    ones = np.bitwise_count(bits).astype(_U)
+    behind = np.flatnonzero(left >= ones)
+    while len(behind):
+        left[behind] -= ones[behind]
+        word[behind] += 1
+        found = words[word[behind]] ^ flip
+        bits[behind] = found
+        ones[behind] = np.bitwise_count(found)
+        behind = behind[left[behind] >= ones[behind]]
+    sums = bits - ((bits >> _U(1)) & _U(0x5555555555555555))
+    sums = (sums & _U(0x3333333333333333)) + ((sums >> _U(2)) & _U(0x3333333333333333))
+    sums = ((sums + (sums >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    shift = np.bitwise_count((((left * _BYTES) | _TOPS) - sums) & _TOPS).astype(_U) << _U(3)
+    left -= ((sums << _U(8)) >> shift) & _U(0xFF)
+    byte = (bits >> shift) & _U(0xFF)
+    return (word << 6) + shift.astype(np.int64) + _PLACE[(byte << _U(3) | left).astype(np.int64)]
+
+
 class EliasFano:
     """A monotone sequence of 64-bit values with vectorised access. parts() are the arrays to be stored."""
 
-    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, samples: np.ndarray):
-        self.n, self.low, self.lows, self.highs, self.samples = n, low, lows, highs, samples
+    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.low, self.lows, self.highs, self.ones, self.zeros = n, low, lows, highs, ones, zeros
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -53,76 +84,75 @@ class EliasFano:
         flags = np.zeros(((int(ones[-1]) if n else 0) // 64 + 2) * 64, np.uint8)
         flags[ones] = 1
         highs = np.packbits(flags, bitorder="little").view(_U)
-        return cls(n, low, lows, highs, ones[::_EVERY].astype(np.int64))
+        return cls(n, low, lows, highs, ones[::_EVERY].astype(np.int64), np.flatnonzero(flags == 0)[::_EVERY])
 
     def parts(self) -> list[np.ndarray]:
-        return [self.lows, self.highs, self.samples]
-
-    def _select(self, i: np.ndarray) -> np.ndarray:
-        """Where the i-th one of the high bits is: from the sample before it, word by word, then by halves of a word."""
-        start = self.samples[i // _EVERY]
-        left = i % _EVERY
-        word = start >> 6
-        bits = self.highs[word] & (~_U(0) << (start & 63).astype(_U))
-        while True:
-            ones = np.bitwise_count(bits).astype(np.int64)
-            behind = left >= ones
-            if not behind.any():
-                break
-            left = np.where(behind, left - ones, left)
-            word = word + behind
-            bits = np.where(behind, self.highs[word], bits)
-        at = np.zeros(len(i), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count(bits & _U((1 << width) - 1)).astype(np.int64)
-            up = left >= ones
-            left = np.where(up, left - ones, left)
-            at += up * width
-            bits = np.where(up, bits >> _U(width), bits)
-        return word * 64 + at
+        return [self.lows, self.highs, self.ones, self.zeros]
 
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        if not len(i):
-            return np.zeros(0, _U)
-        high = (self._select(i) - i).astype(_U) << _U(self.low)
+    def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
-            return high
+            return np.zeros(len(i), _U)
         bit = i.astype(_U) * _U(self.low)
         word, shift = (bit >> _U(6)).astype(np.int64), bit & _U(63)
         part = self.lows[word] >> shift
-        over = shift + _U(self.low) > _U(64)
+        over = np.flatnonzero(shift + _U(self.low) > _U(64))
         part[over] |= self.lows[word[over] + 1] << (_U(64) - shift[over])
-        return high | (part & _U((1 << self.low) - 1))
+        return part & _U((1 << self.low) - 1)
 
-    def successor(self, begin: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """In each range the place of the first element that is not less than the value; end if there is none."""
-        low, high = begin.copy(), end.copy()
-        open_ = np.flatnonzero(low < high)
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        if not len(i):
+            return np.zeros(0, _U)
+        return (_select(self.highs, self.ones, _U(0), i) - i).astype(_U) << _U(self.low) | self._lows(i)
+
+    def all(self) -> np.ndarray:
+        """All values, read from first to last."""
+        ones = np.flatnonzero(np.unpackbits(self.highs.view(np.uint8), bitorder="little"))[: self.n]
+        i = np.arange(self.n)
+        return (ones - i).astype(_U) << _U(self.low) | self._lows(i)
+
+    def successor(self, begin: np.ndarray, end: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In each range the place of the first element that is not less than the value (end if there is none), and whether
+        it is the value. Elements of one high part lie between two zeros of the unary code; among them low parts are halved."""
+        if not self.n:
+            return begin.copy(), np.zeros(len(begin), bool)
+        last = 64 * len(self.highs) - self.n - 1  # the last zero: no element has a higher part
+        high = np.minimum(value >> _U(self.low), _U(last)).astype(np.int64)
+        beyond = high.astype(_U) != value >> _U(self.low)
+        stop = _select(self.highs, self.zeros, ~_U(0), high) - high
+        start = np.zeros(len(high), np.int64)
+        later = np.flatnonzero(high > 0)
+        start[later] = _select(self.highs, self.zeros, ~_U(0), high[later] - 1) - (high[later] - 1)
+        start = np.clip(start, begin, end)
+        stop = np.where(beyond, end, np.clip(stop, start, end))
+        start = np.where(beyond, end, start)
+        part, top = value & _U((1 << self.low) - 1), stop.copy()
+        open_ = np.flatnonzero(start < top)
         while len(open_):
-            middle = (low[open_] + high[open_]) >> 1
-            less = self[middle] < value[open_]
-            low[open_[less]] = middle[less] + 1
-            high[open_[~less]] = middle[~less]
-            open_ = open_[low[open_] < high[open_]]
-        return low
+            middle = (start[open_] + top[open_]) >> 1
+            less = self._lows(middle) < part[open_]
+            start[open_[less]] = middle[less] + 1
+            top[open_[~less]] = middle[~less]
+            open_ = open_[start[open_] < top[open_]]
+        exact = start < stop
+        exact[exact] = self._lows(start[exact]) == part[exact]
+        return start, exact
 
 
 class Trie:
-    """levels: roots are 64-bit word hashes with exact counts; below, codes of probabilities given the context."""
+    """roots are word numbers with exact counts; levels below have codes of probabilities given the context."""
 
-    def __init__(self, roots: np.ndarray, counts: np.ndarray, below: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """below: for each level the parents' numbers (sorted), the word fingerprints (sorted in a parent) and probabilities."""
+    def __init__(self, width: int, roots: np.ndarray, counts: np.ndarray, below: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """below: for each level the parents' numbers (sorted), the words (sorted in a parent, under `width`) and probabilities."""
+        self.width = _U(width)
         self._file = tempfile.TemporaryFile()
-        sizes, self._kinds, arrays = [], [], []
+        sizes, arrays = [], []
         coded = [EliasFano.of(roots)]
         above = len(roots)
-        self._scalars = []
         for parents, words, _ in below:
             pointers = np.searchsorted(parents, np.arange(above + 1))
-            coded += [EliasFano.of(pointers), EliasFano.of(parents.astype(_U) << _U(32) | words.astype(_U))]
+            coded += [EliasFano.of(pointers), EliasFano.of(parents.astype(_U) * self.width + words.astype(_U))]
             above = len(parents)
         for x in coded:
-            self._scalars.append((x.n, x.low))
             arrays += x.parts()
         arrays += [counts.astype(np.int64), *[quantise(p) for _, _, p in below]]
         for a in arrays:
@@ -132,23 +162,13 @@ class Trie:
         self._file.flush()
         self._map = mmap.mmap(self._file.fileno(), 0, access=mmap.ACCESS_READ)
         views = [np.frombuffer(self._map, d, n, at) for d, n, at in sizes]
-        self.coded = [EliasFano(n, low, *views[3 * i : 3 * i + 3]) for i, (n, low) in enumerate(self._scalars)]
-        self.counts, self.codes = views[3 * len(coded)], views[3 * len(coded) + 1 :]
+        self.coded = [EliasFano(x.n, x.low, *views[4 * i : 4 * i + 4]) for i, x in enumerate(coded)]
+        self.counts, self.codes = views[4 * len(coded)], views[4 * len(coded) + 1 :]
 
     def root(self, words: np.ndarray) -> np.ndarray:
         """Numbers of words in the first level, -1 where a word is not there."""
         ids = self.coded[0]
-        # hashes are spread evenly: a word is looked for near its share of the range first, and beyond that where it must be
-        guess, reach = (words.astype(np.float64) * (ids.n / 2.0**64)).astype(np.int64), 4 * int(np.sqrt(ids.n)) + 4
-        begin, end = np.clip(guess - reach, 0, ids.n), np.clip(guess + reach, 0, ids.n)
-        for bound, edge, less in ((begin, begin - 1, False), (end, end, True)):
-            inner = np.flatnonzero((edge >= 0) & (edge < ids.n))
-            value = ids[edge[inner]]
-            wrong = inner[(value < words[inner]) if less else (value >= words[inner])]
-            bound[wrong] = ids.n if less else 0
-        at = ids.successor(begin, end, words)
-        there = at < ids.n
-        there[there] = ids[at[there]] == words[there]
+        at, there = ids.successor(np.zeros(len(words), np.int64), np.full(len(words), ids.n), words.astype(_U))
         return np.where(there, at, -1)
 
     def child(self, level: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -158,13 +178,9 @@ class Trie:
         known = np.flatnonzero(parents >= 0)
         if not len(known) or not ids.n:
             return out
-        of = parents[known]
-        begin, end = pointers[of].astype(np.int64), pointers[of + 1].astype(np.int64)
-        value = of.astype(_U) << _U(32) | words[known].astype(_U)
-        at = ids.successor(begin, end, value)
-        there = at < end
-        there[there] = ids[at[there]] == value[there]
-        out[known[there]] = at[there]
+        of, bounds = parents[known], pointers.all().astype(np.int64)
+        at, there = ids.successor(bounds[of], bounds[of + 1], of.astype(_U) * self.width + words[known].astype(_U))
+        out[known] = np.where(there, at, -1)
         return out
 
     def code(self, level: int, nodes: np.ndarray) -> np.ndarray:

@@ -199,7 +199,7 @@ def test_packing_exchanges_between_partitions(spark):
 
 def test_lm_scores(spark):
     texts = [(i, " ".join(["The" if x == "w1" else x for x in sentence(30).split()])) for i in range(60)] + [(60, None), (61, ""), (62, "never seen"), (5, "x y"), (None, "z")]
-    for tokens_ in ((10**6, 10**6), (300, 200)):
+    for tokens_ in ((10**6, 10**6), (300, 200), (300, 60, 4), (200, 40, 3)):
         found = lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("x")), *tokens_).collect()
         held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
         runs = [(i, (t or "").translate(FOLD).split() + ["</s>"]) for i, t in texts]
@@ -225,7 +225,7 @@ def test_lm_scores(spark):
         got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.held_out, r.n_known, r.base_score, r.score) for r in found)
         assert [x[:5] for x in got] == [x[:5] for x in sorted(expect)] and {r.train_tokens for r in found} == {n}
         assert np.allclose([x[5] for x in got], [x[5] for x in sorted(expect)], atol=1e-9)
-        assert np.allclose([x[6] for x in got], [x[6] for x in sorted(expect)], rtol=2e-3)
+        assert np.allclose([x[6] for x in got], [x[6] for x in sorted(expect)], rtol=2e-4)
     assert lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
