@@ -26,22 +26,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sunfleet.llm.shared import drop_stored, stored
 from sunfleet.llm.trie import Trie, dequantise
 from sunfleet.llm.words import Words, mix, slices, text_buffer, words_of
 
 #: Pseudo-counts of the shorter context.
 MU2, MU3 = 500.0, 20.0
-#: Tokens of a chunk and of a shard, about.
-CHUNK_TOKENS, SHARD_TOKENS = 800_000, 1_000_000
+#: Bytes of text of a chunk (one text at least) and tokens of a shard, about.
+CHUNK_BYTES, SHARD_TOKENS = 4 << 20, 1_000_000
 #: Blocks that a chunk, or a group of shards, sends at most.
 FAN = 1024
-#: Words that are broadcast, with 16 bytes each; the code after the last one announces a hash.
-CODEBOOK = 65_535
-#: Bytes of text that a task gathers before it packs them by chunk.
-PACK_BYTES = 32 << 20
+#: Chunks, or shards, that a task works on one after another.
+GROUPS_OF_TASK = 8
+#: Words that are broadcast at most, with 20 bytes each; the code after the last one announces a hash.
+CODEBOOK = (1 << 18) - 1
+#: Words with fewer tokens are in no codebook. Others are in it from the first count on, among half powers of two, that no
+#: more than CODEBOOK words have.
+RARE = 32
+_COUNTS = [int(RARE * 2 ** (k / 2)) for k in range(96)]
 #: Hashes that stand for the begin and the end of a text; no word has them but by a 64-bit collision.
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _U = np.uint64
@@ -52,10 +58,10 @@ def _ints(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def pack_arrays(arrays: list[np.ndarray]) -> bytes:
+def pack_arrays(arrays: list[np.ndarray], level: int = 1) -> bytes:
     small = [_ints(a) for a in arrays]
     head = np.array([x for a in small for x in (a.itemsize, len(a))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(len(small)).tobytes(), head.tobytes(), *[a.tobytes() for a in small]]))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([np.int64(len(small)).tobytes(), head.tobytes(), *[a.tobytes() for a in small]]))
 
 
 def unpack_arrays(blob: bytes) -> list[np.ndarray]:
@@ -69,23 +75,26 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
 
 
 class Codebook:
-    """The most frequent words of the learning texts, by number: their hashes (sorted) and counts, and the totals."""
+    """The most frequent words of the learning texts, numbered from the most frequent one on: their hashes and counts, and the
+    totals."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, ends: int, shards: int):
-        order = np.argsort(words)
+        order = np.lexsort([words, -counts])
         self.words, self.counts = words[order], counts[order]
+        self.by_hash = np.argsort(self.words).astype(np.int32)
         self.total, self.distinct, self.ends, self.shards = total, distinct, ends, shards
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """The numbers of words, CODEBOOK where they have none."""
-        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
+        at = np.minimum(np.searchsorted(self.words, words, sorter=self.by_hash), max(len(self.words) - 1, 0))
+        at = self.by_hash[at] if len(self.words) else np.zeros(len(words), np.int32)
         known = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
         return np.where(known, at, CODEBOOK)
 
     def context_counts(self, number: np.ndarray) -> np.ndarray:
         """Counts as a context of the words of these numbers; 0 for words that have none."""
         padded = np.zeros(CODEBOOK + 1, np.int64)
-        padded[: len(self.words)] = np.where(self.words == BEGIN, self.ends, np.where(self.words == END, 0, self.counts))
+        padded[: len(self.words)] = np.where(self.words == END, 0, self.counts)
         return padded[np.minimum(number, CODEBOOK)]
 
 
@@ -151,7 +160,7 @@ class Levels:
         of2 = np.bincount(np.searchsorted(part.ones, self.parent2[part.twos]), minlength=len(part.ones))
         of3 = np.bincount(np.searchsorted(part.twos, self.parent3[part.threes]), minlength=len(part.twos))
         n1, n2 = self.n1[part.ones] * part.home1, self.n2[part.twos] * part.home2
-        return pack_arrays([code & 0xFF, code >> 8, self.words[own[code == CODEBOOK]], n1, of2, n2, of3, self.n3[part.threes]])
+        return pack_arrays([code & 0xFF, code >> 8 & 0xFF, code >> 16, self.words[own[code == CODEBOOK]], n1, of2, n2, of3, self.n3[part.threes]])
 
 
 class Part:
@@ -211,11 +220,11 @@ class Merged:
 
     def __init__(self, blobs: list[bytes], book: Codebook):
         asked = [unpack_arrays(b) for b in blobs]
-        sizes = np.array([[len(a[3]), len(a[5]), len(a[7])] for a in asked], np.int64).reshape(-1, 3)
+        sizes = np.array([[len(a[4]), len(a[6]), len(a[8])] for a in asked], np.int64).reshape(-1, 3)
         join = lambda k: np.concatenate([np.zeros(0, np.int64), *[a[k].astype(np.int64) for a in asked]])
         # hashes that are not in the codebook have the numbers from CODEBOOK on
-        others, at = np.unique(np.concatenate([np.zeros(0, _U), *[a[2].astype(_U) for a in asked]]), return_inverse=True)
-        number = join(0) | join(1) << 8
+        others, at = np.unique(np.concatenate([np.zeros(0, _U), *[a[3].astype(_U) for a in asked]]), return_inverse=True)
+        number = join(0) | join(1) << 8 | join(2) << 16
         number[number == CODEBOOK] = CODEBOOK + at
         kind = np.repeat(np.tile(np.arange(3), len(asked)), sizes.ravel())
         self.width = CODEBOOK + len(others) + 1
@@ -223,7 +232,7 @@ class Merged:
         words[: len(book.words)] = book.words
         words[CODEBOOK:-1] = others
         merged, self.where, above = [], [], None
-        for level, (of, n) in enumerate(((None, 3), (4, 5), (6, 7))):
+        for level, (of, n) in enumerate(((None, 4), (5, 6), (7, 8))):
             key = number[kind == level].astype(_U)
             if of is not None:
                 key += np.repeat(above, join(of)).astype(_U) * _U(self.width)
@@ -273,42 +282,34 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), "text", F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False)).alias("held_out"))
 
 
-def packed(docs: DataFrame, chunks: int) -> DataFrame:
-    """chunk, blob for doc_id, text, held_out: the rows of a chunk that a task has, compressed together. Rows go to chunks by
-    what they hold; the k-th of equal rows in a pack by that and k, so that no row that is often there fills a chunk."""
+def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """chunk, blob for doc_id, text, held_out: rows that follow each other in a task, about `chunk_bytes` of text, are a chunk.
+
+    A chunk is read twice, from one shuffle; should its task run again, it must read its rows in the same order, as scans of
+    files do.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, n = [], 0, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
-            key = rows["key"].to_numpy().view(_U)
-            _, first, of, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            place = np.empty(len(key), np.int64)
-            order = np.argsort(of, kind="stable")
-            place[order] = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
-            with np.errstate(over="ignore"):
-                chunk = (mix(key + place.astype(_U) * _U(0x9E3779B97F4A7C15)) % _U(chunks)).astype(np.int64)
-            order = np.argsort(chunk, kind="stable")
-            rows, chunk = rows.take(pa.array(order)).combine_chunks(), chunk[order]
+            rows = pa.Table.from_batches(held).combine_chunks()
             raw, at = text_buffer(rows["text"])
             ids, known = rows["doc_id"].fill_null(0).to_numpy().view(_U), rows["doc_id"].is_valid().to_numpy()
-            out = rows["held_out"].to_numpy()
-            cut = np.append(np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)), len(chunk))
-            blobs = [pack_arrays([ids[i:j], known[i:j], out[i:j], np.diff(at[i : j + 1]), raw[at[i] : at[j]]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(chunk[cut[:-1]]), pa.array(blobs, pa.binary())], ["chunk", "blob"])
+            blob = pack_arrays([ids, known, rows["held_out"].to_numpy(), np.diff(at), raw], 6)
+            return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([blob], pa.binary())], ["chunk", "blob"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", chunk_bytes // 8):
                 held.append(part)
                 size += part.column("text").nbytes
-                if size > PACK_BYTES:
+                if size >= chunk_bytes:
                     yield flush()
-                    held, size = [], 0
+                    held, size, n = [], 0, n + 1
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(pack, "chunk long, blob binary")
+    return docs.select("doc_id", "text", "held_out").mapInArrow(pack, "chunk long, blob binary")
 
 
 def unpacked(blobs: list[bytes]) -> pa.Table:
@@ -347,30 +348,35 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lm_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS, fan: int = FAN) -> DataFrame:
+def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_tokens: int = SHARD_TOKENS, fan: int = FAN) -> DataFrame:
     """SCORES for each row of docs.
 
     Tokens are folded words between blanks and one end for each text; a null or empty text is its end alone. Without
     learning texts all counts are zero. Repeated rows count as often as they stand; a null id is learned from. Other
     columns are not read; an empty table gives an empty table. A text longer than a chunk is a chunk of its own size. Words
-    are told apart by 64-bit hashes.
+    are told apart by 64-bit hashes. Partitions must give their rows in the same order when they are read again.
     """
     spark = docs.sparkSession
     rows = marked(docs)
-    # totals are observed while the codebook is picked
+    # totals are observed while the words that can be in the codebook are stored
     seen = Observation()
     n_end = F.sum(F.when(F.col("word") == int(END.view(np.int64)), F.col("n")))
-    counted = vocabulary(rows).observe(seen, F.sum("n").alias("total"), F.count("*").alias("distinct"), n_end.alias("ends"))
-    top = counted.orderBy(F.desc("n"), "word").limit(CODEBOOK - 1).toArrow()
+    frequent = [F.count_if(F.col("n") >= c).alias(f"from_{c}") for c in _COUNTS]
+    counted = vocabulary(rows).observe(seen, F.sum("n").alias("total"), F.count("*").alias("distinct"), n_end.alias("ends"), *frequent)
+    words = stored(counted.where(F.col("n") >= RARE), "vocabulary")
     total, distinct, ends = (seen.get.get(k) or 0 for k in ("total", "distinct", "ends"))
-    chunks, shards = max(1, -(-total * 7 // (6 * chunk_tokens))), max(1, -(-total // shard_tokens))
-    keys, counts = np.append(top["word"].to_numpy().view(_U), BEGIN), np.append(top["n"].to_numpy(), 0)
+    least = next(c for c in _COUNTS if (seen.get.get(f"from_{c}") or 0) < CODEBOOK)
+    top = words.where(F.col("n") >= least).toArrow()
+    drop_stored(words)
+    shards = max(1, -(-total // shard_tokens))
+    keys, counts = np.append(top["word"].to_numpy().view(_U), BEGIN), np.append(top["n"].to_numpy(), ends)
     model = spark.sparkContext.broadcast(Codebook(keys, counts, total, distinct, ends, shards))
-    # steps[k] shards are one target of the k-th hop
-    steps = [1]
+    # steps[k] shards are one target of the k-th hop; its senders are bundled, about `fan` to a bundle
+    steps, bundles = [1], []
     while -(-shards // steps[0]) > fan:
         steps.insert(0, steps[0] * fan)
-    dealt = packed(rows, chunks)
+        bundles.append(max(1, 7 * total // (chunk_bytes * fan ** len(steps[1:]))))
+    dealt = _over(packed(rows, chunk_bytes), 7 * total // (chunk_bytes * GROUPS_OF_TASK), "chunk")
     block = "target long, source long, blob binary"
 
     def table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -387,20 +393,21 @@ def lm_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: i
         return pa.table([group["target"], group["source"], pa.array(blobs, pa.binary())], names=["target", "source", "blob"])
 
     def relay(up: int, step: int):
-        """Blocks of one target from `fan` sources, merged and dealt on; the sender is the target and the group of sources."""
+        """Blocks of one target and bundle, merged and dealt on; the bundle is the sender of what goes out."""
 
-        def run(group: pa.Table) -> pa.Table:
-            levels, target = Merged(group["blob"].to_pylist(), model.value).levels, group["target"][0].as_py()
-            return table([(p.target, group["source"][0].as_py() // fan, levels.request(p)) for p in levels.dealt(model.value, step, (up, target))])
+        def run(key: tuple, group: pa.Table) -> pa.Table:
+            target, bundle = (k.as_py() for k in key)
+            levels = Merged(group["blob"].to_pylist(), model.value).levels
+            return table([(p.target, bundle, levels.request(p)) for p in levels.dealt(model.value, step, (up, target))])
 
         return run
 
     def relay_back(up: int, step: int):
-        def run(group: pa.Table, replies: pa.Table) -> pa.Table:
+        def run(key: tuple, group: pa.Table, replies: pa.Table) -> pa.Table:
             merged = Merged(group["blob"].to_pylist(), model.value)
             found = Answers(merged.levels)
             by_target = dict(zip(replies["target"].to_pylist(), replies["blob"].to_pylist(), strict=True))
-            for part in merged.levels.dealt(model.value, step, (up, group["target"][0].as_py())):
+            for part in merged.levels.dealt(model.value, step, (up, key[0].as_py())):
                 found.take(part, by_target[part.target])
             blobs = merged.replies(found.count, found.code2, found.code3)
             return pa.table([group["target"], group["source"], pa.array(blobs, pa.binary())], names=["target", "source", "blob"])
@@ -439,16 +446,21 @@ def lm_scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: i
         return pa.table(columns, names=[x.split(" ")[0] for x in SCORES.split(", ")])
 
     hops = [dealt.groupBy("chunk").applyInArrow(ask, block)]
-    bundle = ("target", F.floor(F.col("source") / fan).alias("bundle"))
-    for up, step in zip(steps, steps[1:], strict=False):
-        hops.append(hops[-1].groupBy(*bundle).applyInArrow(relay(up, step), block))
-    replies = hops[-1].groupBy("target").applyInArrow(answer, block)
-    for hop, step, up in zip(hops[-2::-1], steps[:0:-1], steps[-2::-1], strict=True):
-        ratio = up // step
-        sent = replies.groupBy(F.floor(F.col("target") / ratio).alias("target"), F.col("source").alias("bundle"))
-        replies = hop.groupBy(*bundle).cogroup(sent).applyInArrow(relay_back(up, step), block)
+    tasks = shards // GROUPS_OF_TASK
+    bundle = lambda n: F.pmod(F.xxhash64("source"), F.lit(n)).alias("bundle")
+    for up, step, n in zip(steps, steps[1:], bundles, strict=False):
+        hops.append(hops[-1].groupBy("target", bundle(n)).applyInArrow(relay(up, step), block))
+    replies = _over(hops[-1], tasks, "target").groupBy("target").applyInArrow(answer, block)
+    for hop, up, step, n in zip(hops[-2::-1], steps[-2::-1], steps[:0:-1], bundles[::-1], strict=True):
+        sent = replies.groupBy(F.floor(F.col("target") / (up // step)).alias("target"), F.col("source").alias("bundle"))
+        replies = hop.groupBy("target", bundle(n)).cogroup(sent).applyInArrow(relay_back(up, step), block)
     return dealt.groupBy("chunk").cogroup(replies.groupBy(F.col("source").alias("chunk"))).applyInArrow(score, SCORES)
 
 
+def _over(df: DataFrame, tasks: int, column: str) -> DataFrame:
+    """df by `column`, over more tasks than the session's number of shuffle partitions where the corpus needs them."""
+    return df.repartition(tasks, column) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))

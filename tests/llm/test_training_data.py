@@ -199,7 +199,7 @@ def test_packing_exchanges_between_partitions(spark):
 
 def test_lm_scores(spark):
     texts = [(i, " ".join(["The" if x == "w1" else x for x in sentence(30).split()])) for i in range(60)] + [(60, None), (61, ""), (62, "never seen"), (5, "x y"), (None, "z")]
-    for tokens_ in ((10**6, 10**6), (300, 200), (300, 60, 4), (200, 40, 3)):
+    for tokens_ in ((10**6, 10**6), (2000, 200), (2000, 60, 4), (500, 40, 3)):
         found = lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("x")), *tokens_).collect()
         held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
         runs = [(i, (t or "").translate(FOLD).split() + ["</s>"]) for i, t in texts]
