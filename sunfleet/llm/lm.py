@@ -44,10 +44,9 @@ FAN = 1024
 GROUPS_OF_TASK = 8
 #: Words that are broadcast at most, with 20 bytes each; the code after the last one announces a hash.
 CODEBOOK = (1 << 18) - 1
-#: Words with fewer tokens are in no codebook. Others are in it from the first count on, among half powers of two, that no
-#: more than CODEBOOK words have.
+#: Words with fewer tokens are in no codebook. Others are in it from the first half power of two on from which there are no
+#: more than CODEBOOK.
 RARE = 32
-_COUNTS = [int(RARE * 2 ** (k / 2)) for k in range(96)]
 #: Hashes that stand for the begin and the end of a text; no word has them but by a 64-bit collision.
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _U = np.uint64
@@ -361,12 +360,17 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_tokens: int
     # totals are observed while the words that can be in the codebook are stored
     seen = Observation()
     n_end = F.sum(F.when(F.col("word") == int(END.view(np.int64)), F.col("n")))
-    frequent = [F.count_if(F.col("n") >= c).alias(f"from_{c}") for c in _COUNTS]
-    counted = vocabulary(rows).observe(seen, F.sum("n").alias("total"), F.count("*").alias("distinct"), n_end.alias("ends"), *frequent)
+    counted = vocabulary(rows).observe(seen, F.sum("n").alias("total"), F.count("*").alias("distinct"), n_end.alias("ends"))
     words = stored(counted.where(F.col("n") >= RARE), "vocabulary")
     total, distinct, ends = (seen.get.get(k) or 0 for k in ("total", "distinct", "ends"))
-    least = next(c for c in _COUNTS if (seen.get.get(f"from_{c}") or 0) < CODEBOOK)
-    top = words.where(F.col("n") >= least).toArrow()
+    octave = F.floor(F.log2(F.col("n")) * 2)  # words of half a power of two, at most 128 rows
+    kept, least = 0, 128
+    for row in words.groupBy(octave.alias("octave")).count().orderBy(F.desc("octave")).toLocalIterator():
+        kept += row["count"]
+        if kept >= CODEBOOK:
+            break
+        least = row["octave"]
+    top = words.where(octave >= least).toArrow()
     drop_stored(words)
     shards = max(1, -(-total // shard_tokens))
     keys, counts = np.append(top["word"].to_numpy().view(_U), BEGIN), np.append(top["n"].to_numpy(), ends)
