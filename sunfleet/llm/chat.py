@@ -51,12 +51,27 @@ def part_tokens(part: Column) -> Column:
 
 
 def _visit(part: Column, turn: Column, k: Column) -> Column:
-    """What a part becomes in the turn's body. Parts of unknown kind are attachments too; null parts are empty."""
+    """What a part becomes: struct<text, plain>. A text is plain, not yet escaped; parts of unknown kind are attachments too;
+    null parts are empty."""
     mark = F.concat(
         F.lit("<|"), escape_role(F.coalesce(part["type"], F.lit("unknown"))), F.lit(":"), turn.cast("string"),
         F.lit("."), k.cast("string"), F.lit("|>"),
     )
-    return F.when(part.isNull(), F.lit("")).when(part["type"] == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(mark)
+    plain = F.coalesce(part["type"] == "text", part.isNull())
+    return F.struct(F.when(plain, F.coalesce(part["text"], F.lit(""))).otherwise(mark).alias("text"), plain.alias("plain"))
+
+
+def _body(parts: Column, turn: Column) -> Column:
+    """A turn's body. Texts are escaped as if those that touch were one: a control string that is split over two parts gets
+    its bar where the second one begins."""
+    seen = F.filter(F.transform(parts, lambda p, k: _visit(p, turn, k)), lambda x: x["text"] != "")
+
+    def shown(x: Column, before: Column) -> Column:
+        split = F.startswith(x["text"], F.lit("|")) & F.coalesce(before["plain"] & F.endswith(before["text"], F.lit("<")), F.lit(False))
+        return F.when(~x["plain"], x["text"]).when(split, F.concat(F.lit("|"), escape(x["text"]))).otherwise(escape(x["text"]))
+
+    # bound to a lambda variable: the parts are visited once
+    return F.transform(F.array(seen), lambda xs: F.array_join(F.transform(xs, lambda x, k: shown(x, F.get(xs, k - 1))), ""))[0]
 
 
 def format_conversations(
@@ -79,12 +94,11 @@ def format_conversations(
         ).alias("row"),
     )
     grouped = rows.groupBy("__conv").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    body = lambda r, t: F.array_join(F.transform(r["parts"], lambda p, k: _visit(p, t, k)), "")
     laid = F.transform(
         "rows",
         lambda r, t: F.struct(
             F.concat(F.lit(START), escape_role(r["role"]), F.lit("\n")).alias("head"),
-            body(r, t).alias("body"),
+            _body(r["parts"], t).alias("body"),
             (r["role"] == loss_role).alias("loss"),
         ),
     )
