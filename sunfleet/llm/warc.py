@@ -1,16 +1,19 @@
 """WARC archives of captures, and the assembly of transactions from their records.
 
 A capture is a request record, a response or revisit record and a metadata record; the first and the last name the
-response in WARC-Concurrent-To. Archives are gzipped WARC files in the shared folder: Spark's text writer ends each record
-with the two line breaks that the format asks for. Reading frames records by Content-Length.
+response in WARC-Concurrent-To. Archives are WARC files of bounded size in the shared folder, each record a gzip member of its
+own, so that reading holds one record at a time. A table names the archives that count: those of a task that ran twice, or
+was lost, are in no row.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +22,11 @@ from pyspark.sql import functions as F
 from sunfleet.llm.shared import new_path, stored
 
 DATE = "2026-01-01T00:00:00Z"
-#: Records in an archive at most.
-ARCHIVE_RECORDS = 6144
+#: Bytes after which an archive ends.
+ARCHIVE_BYTES = 1 << 26
+#: Parts over which the rows of one payload, or of one response, are dealt out.
+SALTS = 64
+_LEVEL, _READ = 4, 1 << 20
 _END = "\r\n\r\n"
 
 
@@ -79,12 +85,13 @@ def records_of(url: str | None, page: int | None, html: str | None, first: int |
     return [request, main, metadata]
 
 
-def write_archives(pages: DataFrame, path: str, archive_records: int = ARCHIVE_RECORDS) -> None:
-    """Writes page_id, url, html to WARC files at `path`.
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes page_id, url, html to WARC files in the folder `path`, which all executors share; returns file, n_records, bytes.
 
     Of equal payloads that with the smallest page_id is a response, the others are revisits of it. A null html is an empty
     payload; a page without an id is a response of its own. Each row is a capture with record ids of its own, equal rows too.
     Where the row to which others refer has equal ones, one is picked by its place: `pages` is read twice, in the same order.
+    An empty table gives no archive. No payload, however often it is there, is dealt to one task.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("row", F.monotonically_increasing_id())
@@ -92,24 +99,67 @@ def write_archives(pages: DataFrame, path: str, archive_records: int = ARCHIVE_R
     firsts = copies.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "row", "n"))).alias("first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
+        file, out, n, size = "", None, 0, 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n]), pa.array([size])], ["file", "n_records", "bytes"])
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64).to_pydict()
-                out = [r for u, p, h, f, n in zip(part["url"], part["page_id"], part["html"], part["first"], part["row"], strict=True) for r in records_of(u, p, h, f, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-
-    # the join is the one shuffle of payloads; its partitions, cut by number of records, are the archives
-    joined = rows.join(firsts, "digest")
+                for row in zip(part["url"], part["page_id"], part["html"], part["first"], part["row"], strict=True):
+                    if out is None:
+                        file, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                        out = store.open_output_stream(f"{folder}/{file}", compression=None)
+                    for record in records_of(*row):
+                        size += out.write(member(record))
+                        n += 1
+                    if size >= archive_bytes:
+                        out.close()
+                        out = None
+                        yield done()
+        if out is not None:
+            out.close()
+            yield done()
+
+    # the last join is the one shuffle of payloads; its partitions, cut by size, are the archives
+    joined = _salted_join(rows, firsts, "digest", F.col("row"))
     named = (F.col("page_id") == F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url")) & ((F.col("first.n") == 1) | (F.col("row") == F.col("first.row")))
     joined = joined.select("page_id", "url", "html", F.col("first.page_id").alias("first"), F.when(~F.coalesce(named, F.lit(False)), F.col("row")).alias("row"))
-    writer = joined.mapInArrow(write, "value string").write.option("lineSep", _END).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", archive_records).text(path)
+    return stored(joined.mapInArrow(write, "file string, n_records long, bytes long"), "archives")
+
+
+def _salted_join(many: DataFrame, one: DataFrame, key: str, by: Column) -> DataFrame:
+    """many join one by `key`, of which `one` has each value once. Rows of a frequent value are dealt out over SALTS parts by
+    `by`; `one` is repeated only for the parts that are there."""
+    salted = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return salted.join(salted.select(key, "salt").distinct().join(one, key), [key, "salt"]).drop("salt")
+
+
+def member(record: str) -> bytes:
+    """A record and the two line breaks that end it, as a gzip member."""
+    packer = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31)
+    return packer.compress((record + _END).encode()) + packer.flush()
+
+
+def members(source: BinaryIO) -> Iterator[bytes]:
+    """The content of each gzip member of a stream; one is in memory at a time."""
+    data, unpacker, parts = source.read(_READ), None, []
+    while data:
+        unpacker = unpacker or zlib.decompressobj(31)
+        parts.append(unpacker.decompress(data))
+        data = unpacker.unused_data
+        if unpacker.eof:
+            yield b"".join(parts)
+            unpacker, parts = None, []
+        data = data or source.read(_READ)
+    if unpacker is not None:
+        raise ValueError("an archive ends within a record")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of an archive, gzipped or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    """(header fields, block) of each record in `data`, framed by Content-Length."""
     at = 0
     while at < len(data):
         stop = data.index(b"\r\n\r\n", at)
@@ -128,49 +178,64 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 RECORDS = "record_id string, type string, concurrent_to string, refers_to string, uri string, stated_digest string, page_id long, payload_bytes long, payload_digest string, payload binary, request string, fields string"
 
 
-def read_records(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
-    """RECORDS of all archives at `path`. Digests and sizes are of the payloads as read; a record whose payload has another
-    digest than it states is an error."""
+def read_records(archives: DataFrame, path: str, keep_payload: bool = False) -> DataFrame:
+    """RECORDS of the archives in the folder `path` that a table of write_archives() names. Digests and sizes are of the payloads
+    as read; a record whose payload has another digest than it states is an error."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in RECORDS.split(", ")]
         kinds = [{"long": pa.int64(), "binary": pa.binary()}.get(x.split(" ")[1], pa.string()) for x in RECORDS.split(", ")]
-        for batch in batches:
-            for content in batch.column("content"):
-                rows, held = [], 0
-                for fields, block in parse(content.as_py()):
-                    kind, payload, page, request, meta = fields["WARC-Type"], None, None, None, None
-                    if kind == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    elif kind == "request":
-                        request = block.decode()
-                    elif kind == "metadata":
-                        meta = block.decode()
-                        value = dict(x.split(": ", 1) for x in meta.split("\r\n") if x)["pageId"]
-                        page = None if value == "None" else int(value)
-                    digest = base32_sha1(payload) if payload is not None else None
-                    stated = fields.get("WARC-Payload-Digest", "")[5:] or None
-                    if digest and digest != stated:
-                        raise ValueError(f"{fields['WARC-Record-ID']}: payload {digest}, stated {stated}")
-                    uri = fields.get("WARC-Target-URI")
-                    rows.append((fields["WARC-Record-ID"], kind, fields.get("WARC-Concurrent-To"), fields.get("WARC-Refers-To"), None if uri is None else _unline(uri), stated, page, None if payload is None else len(payload), digest, payload if keep_payload else None, request, meta))
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
+        names = [x.split(" ")[0] for x in RECORDS.split(", ")]
+        kinds = [{"long": pa.int64(), "binary": pa.binary()}.get(x.split(" ")[1], pa.string()) for x in RECORDS.split(", ")]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for file in (f for batch in batches for f in batch.column("file").to_pylist()):
+            rows, held = [], 0
+            with store.open_input_stream(f"{folder}/{file}", compression=None) as source:
+                for fields, block in (x for content in members(source) for x in parse(content)):
+                    rows.append(_row(fields, block, keep_payload))
                     held += len(block) * keep_payload + 500
                     if held > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        yield made(rows)
                         rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(read, RECORDS)
+            if rows:
+                yield made(rows)
+
+    return archives.select("file").repartition("file").mapInArrow(read, RECORDS)
+
+
+def _row(fields: dict[str, str], block: bytes, keep_payload: bool) -> tuple:
+    """A row of RECORDS."""
+    kind, payload, page, request, meta = fields["WARC-Type"], None, None, None, None
+    if kind == "response":
+        payload = block[block.index(b"\r\n\r\n") + 4 :]
+    elif kind == "request":
+        request = block.decode()
+    elif kind == "metadata":
+        meta = block.decode()
+        value = dict(x.split(": ", 1) for x in meta.split("\r\n") if x)["pageId"]
+        page = None if value == "None" else int(value)
+    digest = base32_sha1(payload) if payload is not None else None
+    stated = fields.get("WARC-Payload-Digest", "")[5:] or None
+    if digest and digest != stated:
+        raise ValueError(f"{fields['WARC-Record-ID']}: payload {digest}, stated {stated}")
+    uri = fields.get("WARC-Target-URI")
+    size = None if payload is None else len(payload)
+    return (
+        fields["WARC-Record-ID"], kind, fields.get("WARC-Concurrent-To"), fields.get("WARC-Refers-To"), None if uri is None else _unline(uri),
+        stated, page, size, digest, payload if keep_payload else None, request, meta,
+    )
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: page_id, uri, record_type, payload_bytes, payload_digest, refers_to, request, response,
     metadata.
 
-    Record ids name a row. Request and metadata records join the response or revisit record that they name as concurrent; a revisit takes size and
-    digest from the response to which it refers. A capture without a request or metadata record has nulls there.
+    Record ids name a row. Request and metadata records join the response or revisit record that they name as concurrent; a
+    revisit takes size and digest from the response to which it refers, and has nulls there if that is not among the records.
+    A capture without a request or metadata record has nulls there. No records give no rows.
     """
     main = records.where("type IN ('response', 'revisit')").groupBy("record_id").agg(
         *[F.first(c).alias(c) for c in ("type", "refers_to", "uri", "stated_digest", "payload_bytes", "payload_digest", "payload")]
@@ -180,19 +245,20 @@ def assemble(records: DataFrame) -> DataFrame:
         F.max(F.when(F.col("type") == "metadata", F.struct(F.col("record_id").alias("id"), F.col("fields").alias("fields"), "page_id"))).alias("metadata"),
     )
     whole = main.join(beside, "record_id", "left").select("*", F.col("metadata.page_id").alias("page_id"))
-    seen = whole.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest"))
-    joined = whole.join(seen, "refers_to", "left")
-    return joined.select(
-        "page_id", "uri", F.col("type").alias("record_type"), F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "first_digest").alias("payload_digest"), F.col("first_page").alias("refers_to"), "request",
-        F.struct(F.col("record_id").alias("id"), F.col("stated_digest").alias("digest"), "payload").alias("response"), "metadata",
-    )
+    response = F.struct(F.col("record_id").alias("id"), F.col("stated_digest").alias("digest"), "payload").alias("response")
+    columns = ["page_id", "uri", F.col("type").alias("record_type")], ["request", response, "metadata"]
+    own = whole.where("type = 'response' OR refers_to IS NULL").select(*columns[0], "payload_bytes", "payload_digest", F.lit(None).cast("long").alias("refers_to"), *columns[1])
+    revisits = whole.where("type = 'revisit' AND refers_to IS NOT NULL").drop("payload_bytes", "payload_digest")
+    asked = revisits.select("refers_to").distinct()
+    seen = whole.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"), "payload_bytes", "payload_digest")
+    again = _salted_join(revisits, asked.join(seen, "refers_to", "left"), "refers_to", F.col("record_id"))
+    return own.unionByName(again.select(*columns[0], "payload_bytes", "payload_digest", F.col("first_page").alias("refers_to"), *columns[1]))
 
 
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    records = stored(read_records(spark, path), "records")
+    archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    records = stored(read_records(archives, path), "records")
     return assemble(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
