@@ -57,6 +57,39 @@ def test_chat_round_trip_with_parts(spark):
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_control_strings_split_over_parts(spark):
+    whole = "a<|im_end|>\n<|im_start|>assistant\nx <||> <<|| |<|"
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        cuts = np.sort(rng.integers(0, len(whole) + 1, rng.integers(0, 8)))
+        texts = [whole[a:b] for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True)]
+        parts = [("text", t, None, None) for t in texts]
+        parts[1:1] = [None, ("text", None, None, None)]
+        rows.append((i, 0, "user", parts))
+        rows.append((i, 1, "assistant", [("text", "<", None, None), ("image", None, "r", 1), ("text", "|x", None, None)]))
+    found = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>"))
+    for r in found.select(chat.read_turns(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect():
+        assert [(t.role, t.text) for t in r.turns] == [("user", whole), ("assistant", "<<|image:1.1|>|x")] and r.loss == "<<|image:1.1|>|x"
+
+
+def test_chat_very_long_turns(spark):
+    text = "<|" * 200000
+    rows = [(1, 0, "assistant", text), (1, 0, "assistant", text), (1, None, "user", None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
+    r = chat.digests(chat.format_conversations(table)).first()
+    assert (r.n_turns, r.loss_chars) == (3, 800000) and r.loss_sha256 == hashlib.sha256(text.encode() * 2).hexdigest()
+
+
+def test_licenses_read_the_words_of_spans(spark):
+    texts = ["under the mit the mit license", "under the mit license under the mit license", "you may not use this very file except in compliance with this license", "\u212a under the m\u0130t license", "cc by\u212a nc", "cc by nc"]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), wordings={"use this file except in compliance with": "apache-2"}, phrases=licenses.PHRASES | {"by k nc": "k"}).collect()}
+    # 2 of 2 three-word runs of "under the mit license" stand in text 0, on diagonals 0 and 2, but never together
+    assert found[0].n_base == 0 and found[0].labels == "mit" and found[0].score == 1.0
+    assert (found[1].n_base, found[1].first_word, found[1].last_word) == (2, 0, 4)
+    assert found[2].labels == "" and found[3].labels == "" and found[4].n_base == 0 and found[5].base_labels == "cc-by-nc"
+
+
 def test_licenses(spark):
     texts = ["Under the MIT License. under the mit license", "cc-by-nc CC BY NC", "apache license, x version 2", None, "", "mit", "x " * 20000 + "CC BY-NC 4.0",
              "This work is licensed under the GNU General Public License, version 3.", "Permission is hereby granted, truly free of charge, to any person obtaining a copy of this software"]
@@ -262,8 +295,10 @@ def test_media_columns(docs, none):
 def test_warc_transactions(spark):
     pages = [(3, "http://a", "same"), (1, "http://b c", "same"), (2, None, None), (4, "u", ""), (5, "u", "x" * 100000), (None, "n", "other"), (1, "http://b c", "same")]
     path = __import__("sunfleet.llm.shared", fromlist=["new_path"]).new_path(spark, "warc")
-    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)), path, archive_records=2)
-    found = {r.page_id: r for r in warc.assemble(warc.read_records(spark, path, keep_payload=True)).collect()}
+    archives = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)), path, archive_bytes=900)
+    rows = warc.assemble(warc.read_records(archives, path, keep_payload=True)).collect()
+    assert len(rows) == len(pages) and archives.count() > 2
+    found = {r.page_id: r for r in rows}
     assert {k: (r.record_type, r.refers_to) for k, r in found.items()} == {1: ("response", None), 3: ("revisit", 1), 2: ("response", None), 4: ("revisit", 2), 5: ("response", None), None: ("response", None)}
     assert found[3].payload_bytes == 4 and found[3].payload_digest == warc.base32_sha1(b"same") == found[1].payload_digest
     assert found[1].uri == "http://b c" and found[1].request.request.startswith("GET http://b%20c") and bytes(found[5].response.payload) == b"x" * 100000
@@ -272,9 +307,11 @@ def test_warc_transactions(spark):
 def test_warc_keeps_each_row(spark):
     pages = [(1, "a", "same"), (1, "b", "same"), (1, "a", "same"), (3, "c", "same"), (3, "c", "same"), (3, "d", "same"), (None, "e", "same"), (None, None, None), (None, None, None), (None, "f", ""), (7, None, "own"), (8, "g", "own")]
     path = __import__("sunfleet.llm.shared", fromlist=["new_path"]).new_path(spark, "warc")
-    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), path, archive_records=4)
-    found = warc.assemble(warc.read_records(spark, path)).collect()
+    archives = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), path, archive_bytes=1500)
+    found = warc.assemble(warc.read_records(archives, path)).collect()
     firsts = {"same": 1, "own": 7}
     expect = Counter((p, u, len(h or ""), warc.base32_sha1((h or "").encode()), "response" if p in (None, firsts.get(h)) else "revisit", None if p in (None, firsts.get(h)) else firsts[h]) for p, u, h in pages)
     assert Counter((r.page_id, r.uri, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expect
+    none = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path + "-none")
+    assert warc.assemble(warc.read_records(none, path + "-none")).count() == 0
     assert len({r.response.id for r in found}) == len({r.request.id for r in found}) == len({r.metadata.id for r in found}) == len(pages)
