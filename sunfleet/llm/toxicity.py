@@ -7,6 +7,7 @@ vector of at most 2**BITS floats, whatever the corpus.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunfleet.llm.words import NOT_WORD, gram_hashes, list_array, slices, words_of
+from sunfleet.llm.words import NOT_WORD, gram_hashes, list_array, mix, slices, words_of
 
 BITS = 18
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 PASSES = 4
-#: The bound on what is learned from: labelled rows, those with the smallest hashes, and their distinct features.
+#: The bound on what is learned from: labelled texts, those with the smallest hashes, and their distinct features.
 SAMPLE_ROWS, SAMPLE_FEATURES = 12_000, 12_000_000
 THRESHOLD = 0.7
 #: Place of the constant feature.
@@ -60,58 +61,80 @@ def ftrl(labels: np.ndarray, features: np.ndarray, offsets: np.ndarray, bits: in
 
 
 def learned_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, label of labelled documents that may be learned from: crc32(doc_id as text) mod 3 is not 1. Documents
-    with labels that contradict each other, or null ones, are left out."""
+    """doc_id, label and the other columns of labelled documents that may be learned from: crc32(doc_id as text) mod 3 is not 1.
+    Documents with labels that contradict each other, or null ones, are left out."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
-    rows = docs.select("doc_id", "text").join(marks.select("doc_id", F.col("hi").alias("label")), "doc_id")
+    rows = docs.join(marks.select("doc_id", F.col("hi").alias("label")), "doc_id")
     return rows.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
 
 
+def _rank(ids: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """What rows are sorted by: a hash of the id, the id and a hash of the text."""
+    with np.errstate(over="ignore"):
+        mixed = mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return list(zip(mixed.tolist(), ids.tolist(), keys.tolist(), strict=True))
+
+
+def first_rows(rows: Iterator[tuple[tuple, int, np.ndarray]], most: int) -> list[tuple[tuple, int, np.ndarray]]:
+    """Of (rank, label, features) in any order: in the order of their ranks the longest run of rows from the first on that has
+    at most `most` features. Not much more than these is held at a time."""
+    held, size, stop = [], 0, None  # a heap, the last rank first
+    for rank, label, found in rows:
+        key = tuple(-x for x in rank)
+        if stop is not None and key <= stop:
+            continue
+        heapq.heappush(held, (key, label, found))
+        size += len(found)
+        while size > most:
+            stop, _, gone = heapq.heappop(held)
+            size -= len(gone)
+    return [(tuple(-x for x in key), label, found) for key, label, found in sorted(held, key=lambda x: x[0], reverse=True)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, features: int = SAMPLE_FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """(places, values) of the weights that are not zero.
 
-    The sample is bounded: the `rows` labelled rows with the smallest id hashes, each with at most features / rows distinct
-    features on average; rows beyond `features` in all are not learned from. One executor task holds the sample and learns.
-    Without any labelled row all weights are zero.
+    The sample is bounded: of the labelled (id, text) pairs the `rows` first ones by a hash of their ids, and of these, in the
+    same order, as many as have `features` distinct features in all; they are learned from in that order, so that the
+    weights don't depend on how the tables are dealt. Equal rows count once, other rows of one id each; a null id has no
+    label, a null text is an empty one. One executor task holds the sample and learns. Without any labelled row, an empty
+    table among them, all weights are zero.
     """
-    ids = learned_rows(docs.select("doc_id", F.lit("").alias("text")), labels)
-    picked = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "label")
-    sample = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "label", "text")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    picked = learned_rows(texts.drop("text"), labels).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(rows)
+    sample = texts.join(picked, ["doc_id", "key"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found, offsets in feature_batches(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int32()), list_array(found, offsets, pa.int32())], ["doc_id", "label", "features"])
+            kept = [part.column("doc_id").cast(pa.int64()), part.column("key"), part.column("label").cast(pa.int32())]
+            yield pa.RecordBatch.from_arrays([*kept, list_array(found, offsets, pa.int32())], ["doc_id", "key", "label", "features"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, marks, lists, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        total = 0
-        for batch in batches:
-            own = batch.column("features")
-            lengths = np.diff(own.offsets.to_numpy())
-            fit_in = int(np.searchsorted(total + np.cumsum(lengths), features, "right"))
-            own = own.slice(0, fit_in)
-            ids.append(batch.column("doc_id").to_numpy()[:fit_in])
-            marks.append(batch.column("label").to_numpy()[:fit_in])
-            lists.append(own.flatten().to_numpy())
-            sizes.append(lengths[:fit_in])
-            total += int(lengths[:fit_in].sum())
-        order_of = np.concatenate(ids).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        order = np.argsort(order_of, kind="stable")
-        found, lengths, marks = np.concatenate(lists), np.concatenate(sizes), np.concatenate(marks)
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        shuffled = np.concatenate([found[starts[i] : starts[i + 1]] for i in order]) if len(order) else found
-        weights = ftrl(marks[order], shuffled, np.concatenate([[0], np.cumsum(lengths[order])]))
+        def each():
+            for batch in batches:
+                ids, keys, marks = (batch.column(c).to_numpy() for c in ("doc_id", "key", "label"))
+                found = batch.column("features")
+                at, values = found.offsets.to_numpy(), found.values.to_numpy()
+                for i, rank in enumerate(_rank(ids, keys)):
+                    yield rank, int(marks[i]), values[at[i] : at[i + 1]].copy()
+
+        held = first_rows(each(), features)
+        marks = np.array([label for _, label, _ in held], np.int32)
+        found = np.concatenate([np.zeros(0, np.int32), *[x for _, _, x in held]])
+        weights = ftrl(marks, found, np.concatenate([[0], np.cumsum([len(x) for _, _, x in held])]).astype(np.int64))
         places = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(weights[places])], ["place", "weight"])
 
-    extracted = sample.mapInArrow(extract, "doc_id long, label int, features array<int>")
-    found = extracted.repartition(1).mapInArrow(learn, "place int, weight double").toArrow()
+    extracted = sample.select("doc_id", "key", "label", "text").mapInArrow(extract, "doc_id long, key long, label int, features array<int>")
+    once = extracted.groupBy("doc_id", "key", "label").agg(F.first("features").alias("features"))
+    found = once.repartition(1).mapInArrow(learn, "place int, weight double").toArrow()
     return found["place"].to_numpy(), found["weight"].to_numpy()
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], extra: list[str] | None = None) -> DataFrame:
     """doc_id, score (0 to 1, of the whole text; a null text is empty) and predicted (score >= THRESHOLD), then `extra`
-    columns of docs as they are. Equal texts have equal scores; only the text is looked at."""
+    columns of docs as they are. Equal texts have equal scores; only the text is looked at, whatever its length. Repeated rows
+    and null ids stay; an empty table gives an empty table."""
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
     extra = extra or []
     rows = docs.select("doc_id", "text", *[c for c in extra if c != "text"])
@@ -132,7 +155,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], extra: list[s
 
 
 def without_toxic(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The rows of docs, with all their columns, that are not predicted as toxic."""
+    """The rows of docs, with all their columns, that are not predicted as toxic. Null and empty texts are scored like others."""
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
