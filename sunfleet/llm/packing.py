@@ -2,7 +2,8 @@
 
 Pieces of documents are dealt to partitions of bounded size; each is packed best-fit decreasing, and lower bounds from
 dual-feasible functions say how many bins it needs at least. A partition at its bound is done. The others keep their full
-bins and exchange what lies in the rest: it is dealt anew, together, and packed again, as long as that saves bins.
+bins and exchange what lies in the rest: it is dealt anew, together, and packed again, as long as that saves bins. Each
+piece carries its partition's number of bins and lower bound: where they are equal, the partition is certified.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunfleet.llm.shared import stored
+from sunfleet.llm.shared import drop_stored, stored
 from sunfleet.llm.tokens import NAME, Encoder
 from sunfleet.llm.words import slices
 
 CAPACITY, END = 2048, 0
-#: Pieces that one task packs, and rounds of exchange.
-GROUP, ROUNDS = 100_000, 4
+#: Pieces that one task packs, under 2**20.
+GROUP = 100_000
+#: A round of exchange goes on to the next one where it saves at least one bin of so many.
+ONE_OF = 1000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -119,33 +122,39 @@ def _bins(packed: DataFrame) -> tuple[int, int, int]:
     return row[0], row[1], row[2]
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """Rows of PIECES with sequence_id and offset: each sequence holds at most `capacity`, gapless from 0.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int | None = None) -> DataFrame:
+    """Rows of PIECES with sequence_id and offset, and bins and bound of the partition where they were packed last: each
+    sequence holds at most `capacity`, gapless from 0.
 
     Every row is placed; repeated rows and null ids are placed like others, and no row gives no sequence. Lengths are 1 to
-    `capacity`.
+    `capacity`; a piece of full capacity is a sequence, and a certified partition, of its own. Partitions with a gap (bins >
+    bound) exchange documents for as many `rounds` as save one bin of ONE_OF or more; those whose bound is still lower then
+    are in the result with their gap.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    whole = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    one = F.lit(1).cast("long")
+    whole = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("bins"), one.alias("bound"))
     rest = pieces.where(F.col("length") < capacity)
     now = stored(_pack(_deal(rest, rest.count(), 0, group), capacity), "packed")
     made, bound, _ = _bins(now)
-    done = []
-    number = lambda df, k: df.select(*columns, (F.lit(k << 56) + F.shiftleft(F.col("part"), 28) + F.col("bin")).alias("sequence_id"), "offset")
-    for k in range(1, rounds + 1):
-        if made == bound:
-            break
+    done, k = [], 0
+    number = lambda df, k: df.select(*columns, (F.lit(k << 50) + F.shiftleft(F.col("part"), 20) + F.col("bin")).alias("sequence_id"), "offset", "bins", "bound")
+    while made > bound and (rounds is None or k < rounds):
+        k += 1
         gap = (F.col("bins") > F.col("bound")) & ~F.col("full")
         open_rows = now.where(gap)
         n = open_rows.count()
-        before = open_rows.groupBy("part").agg(F.count_distinct("bin").alias("b")).agg(F.sum("b")).first()[0]
+        before = open_rows.groupBy("part").agg(F.count_distinct("bin").alias("b")).agg(F.sum("b")).first()[0] or 0
         again = stored(_pack(_deal(open_rows, n, k, group), capacity), "packed")
         made, bound, _ = _bins(again)
         if made >= before:
+            drop_stored(again)
             break
-        done.append(number(now.where(~gap), k - 1))
+        done.append(number(now.where(~gap), k))
         now = again
-    done.append(number(now, rounds + 1))
+        if (before - made) * ONE_OF < before:
+            break
+    done.append(number(now, k + 1))
     out = whole
     for part in done:
         out = out.unionByName(part)
@@ -153,7 +162,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = NAME) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: each row of docs in pieces, packed.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, bins, bound: each row of docs in pieces, packed.
 
     A null or empty text is the end id alone; a null doc_id stays null. Other columns are not read. An empty table gives
     an empty table. Repeated rows are packed as often as they stand.

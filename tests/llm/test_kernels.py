@@ -1,5 +1,6 @@
 """Plain functions against brute force."""
 
+import math
 import random
 import zlib
 
@@ -198,5 +199,39 @@ def test_ftrl_finds_the_telling_feature_and_stays_sparse():
     assert w[5] > 1 and w[5] == w.max() and (w != 0).mean() < 0.2
 
 
+def test_ftrl_is_the_plain_rule_by_coordinate():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(np.append(rng.integers(0, 64, rng.integers(0, 12)), toxicity.BIAS)) for _ in range(200)]
+    labels = rng.integers(0, 2, 200)
+    z, n = {}, {}
+
+    def weight(i):
+        free = 0.0 if i == toxicity.BIAS else toxicity.L1
+        x = z.get(i, 0.0)
+        if abs(x) <= free:
+            return 0.0
+        return -(x - math.copysign(free, x)) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for row, y in zip(rows, labels, strict=True):
+            w = {int(i): weight(int(i)) for i in row}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, x in w.items():
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / toxicity.ALPHA * x
+                n[i] = before + g * g
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    assert np.allclose(toxicity.ftrl(labels, np.concatenate(rows).astype(np.int32), offsets, bits=6), [weight(i) for i in range(64)], atol=1e-9)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.permutations(range(12)), st.integers(0, 40))
+def test_sample_is_the_longest_run_of_ranks(order, most):
+    sizes = [3, 1, 7, 2, 2, 9, 1, 1, 4, 30, 2, 1]
+    found = toxicity.first_rows((((i,), i, np.zeros(sizes[i])) for i in order), most)
+    run = int(np.searchsorted(np.cumsum(sizes), most, "right"))
+    assert [label for _, label, _ in found] == list(range(run))
+
+
 def test_crc_rule_is_zlibs():
     assert zlib.crc32(b"12") % 3 in (0, 1, 2)

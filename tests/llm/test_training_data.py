@@ -177,6 +177,17 @@ def test_toxicity_learns_and_keeps_clean_rows(spark):
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5} and toxicity.score(docs.limit(0), weights).count() == 0
 
 
+def test_toxicity_learns_the_same_from_any_order(spark):
+    rows = [(i, sentence(25) + (" vileword" if i % 4 == 0 else "")) for i in range(300)] + [(3, "another text of one id"), (6, None), (9, "")] * 2 + [(12, sentence(20000))]
+    marks = [(i, int(i % 4 == 0)) for i in range(300)]
+    found = []
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(len(rows))
+        docs = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").repartition(1 + 2 * seed)
+        found.append(toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"), features=9000))
+    assert len(found[0][0]) and all((a == b).all() for x in found[1:] for a, b in zip(found[0], x, strict=True))
+
+
 def test_decontamination_blocks_agree(spark, docs):
     item = " ".join(TEXTS[0].split()[5:30])
     items = spark.createDataFrame([(0, item, 1), (1, None, 1), (2, "", 1), (3, "absent words only here now", 1)], "item_id long, text string, coverage int")
@@ -226,6 +237,7 @@ def test_packing_exchanges_between_partitions(spark):
     for r in rows:
         fill[r.sequence_id] += r.length
     assert sum(fill.values()) == n.sum() and max(fill.values()) <= 1024 and len(rows) == 3000
+    assert all(r.bins >= r.bound >= 1 for r in rows) and any(r.bins == r.bound for r in rows)
     alone = packing.pack(pieces, 1024, group=300, rounds=0).select("sequence_id").distinct().count()
     assert len(fill) < alone and len(fill) <= packing.lower_bound(n, 1024) * 1.01
 
