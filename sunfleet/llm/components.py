@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunfleet.llm.shared import stored
+from sunfleet.llm.shared import drop_stored, stored
 
 
 def _state(edges: DataFrame):
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        now = stored(small.where("a != b").distinct(), "edges")
+        done, now = now, stored(small.where("a != b").distinct(), "edges")
+        drop_stored(done)
         before, state = state, _state(now)
         if before == state:
             break

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunfleet.llm.components import components
-from sunfleet.llm.shared import stored
+from sunfleet.llm.shared import drop_stored, salted_join, stored
 from sunfleet.llm.words import Words, gram_hashes, list_array, mix, slices, words_of
 
 SHINGLE = 5
@@ -115,13 +115,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("class").alias("a"), F.col("own").alias("own_a"))
     b = sets.select(F.col("class").alias("b"), F.col("own").alias("own_b"))
     shared = F.size(F.array_intersect("own_a", "own_b"))
-    return pairs.join(a, "a").join(b, "b").where(_linked(shared, F.size("own_a"), F.size("own_b"), percent)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(_linked(shared, F.size("own_a"), F.size("own_b"), percent)).select(*pairs.columns)
 
 
-def links(docs: DataFrame, signed: DataFrame, m: int, percent: int) -> DataFrame:
-    """a, b: confirmed links between classes; a class is all documents of one shingle set, named by its smallest doc_id.
+def linked_components(docs: DataFrame, signed: DataFrame, m: int, percent: int) -> DataFrame:
+    """node, component of classes that have links; a class is all documents of one shingle set, named by its smallest doc_id.
 
-    All links that meet under a table key come out, but for those between two members that both have a link to the hub.
+    Links to hubs come first, and their components; then the links that join two of these components. What is between
+    members of one component already changes nothing, so that groups of near copies, however large, make no pairs.
     """
     classes = signed.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class"), F.first("halves").alias("halves")).where("class is not null")
     index = F.sequence(F.lit(0), F.lit(m - 1))
@@ -144,10 +145,9 @@ def links(docs: DataFrame, signed: DataFrame, m: int, percent: int) -> DataFrame
     more = F.array_except(own, hub)
     shared = n - F.size(more)
     h = F.floor(n * (1 + 100 / percent) * ratio + 1e-6).cast("int")
-    spread = (
-        star.join(sets, "class")
-        .join(sets.select(F.col("class").alias("hub"), own.alias("own_hub")), "hub")
-        .select("hub", "class", n.alias("n"), n_hub.alias("n_hub"), h.alias("h"), own, hub, more.alias("more"), shared.alias("shared"))
+    hub_sets = sets.select(F.col("class").alias("hub"), own.alias("own_hub"))
+    spread = salted_join(star.join(sets, "class"), hub_sets, "hub", F.col("class")).select(
+        "hub", "class", n.alias("n"), n_hub.alias("n_hub"), h.alias("h"), own, hub, more.alias("more"), shared.alias("shared")
     )
     lacks = F.array_except(hub, own)
     size = F.col("n") + F.col("n_hub") - 2 * F.col("shared")
@@ -161,16 +161,18 @@ def links(docs: DataFrame, signed: DataFrame, m: int, percent: int) -> DataFrame
     )
     direct = differences.where("linked").select(F.col("class").alias("a"), F.col("hub").alias("b"))
 
-    # hubs with a member that is not linked to them, and another member
-    some = differences.groupBy("hub").agg(F.min("linked").alias("all_linked"), F.count("*").alias("members")).where("not all_linked and members > 1").select("hub")
-    left = differences.join(some, "hub")
+    near = components(direct)
+    of = stored(differences.join(near.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "of-hubs")
+    # hubs whose members are of two components or more; their rows are dealt out
+    some = of.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("hub")
+    left = salted_join(of, some, "hub", F.col("class"))
     # of a pair, the member with the smaller difference: its partner's is at least as large, and if it is linked itself,
-    # the partner is not, so that the partner's difference is over open_from
+    # the partner is not (it is of another component), so that the partner's difference is over open_from
     partner = F.when(F.col("linked"), F.greatest("size", F.col("open_from"))).otherwise(F.col("size"))
     needed = F.greatest(F.ceil((partner + F.col("size") - F.col("h")) / 2), F.lit(1))
     head = F.slice("first", F.lit(1), F.greatest((F.col("size") - needed + 1).cast("int"), F.lit(0)))
     side = lambda x, elements: left.select(
-        "hub", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("size").alias(f"size_{x}"), F.col("linked").alias(f"linked_{x}"),
+        "hub", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("size").alias(f"size_{x}"), F.col("component").alias(f"component_{x}"),
         F.posexplode(elements).alias(f"at_{x}", "e"),
     )
     n_a, n_b, size_a, size_b = (F.col(c) for c in ("n_a", "n_b", "size_a", "size_b"))
@@ -179,10 +181,16 @@ def links(docs: DataFrame, signed: DataFrame, m: int, percent: int) -> DataFrame
     close = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent) & (size_a - F.col("at_a") >= overlap) & (size_b - F.col("at_b") >= overlap)
     ordered = (size_a < size_b) | ((size_a == size_b) & (F.col("a") < F.col("b")))
     pairs = (
-        side("a", head).join(side("b", F.col("first")), ["hub", "e"]).where(close & ordered & ~(F.col("linked_a") & F.col("linked_b")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        side("a", head).join(side("b", F.col("first")), ["hub", "e"]).where(close & ordered & (F.col("component_a") != F.col("component_b")))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "component_a", "component_b").distinct()
     )
-    return direct.unionByName(_verified(pairs, sets, percent))
+    more = _verified(pairs, sets, percent)
+    joined = components(more.select(F.least("component_a", "component_b").alias("a"), F.greatest("component_a", "component_b").alias("b")))
+    drop_stored(met, star, sets, differences, of)
+    whole = near.join(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left")
+    whole = whole.select("node", F.coalesce("wider", "component").alias("component"))
+    # a class without a link to a hub is a component of its own in `joined`
+    return whole.unionByName(joined.join(near.select("node"), "node", "left_anti").select("node", "component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     r, m = plan_tables(percent)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(signatures(docs, r, m), "signed")
-    found = components(links(docs, signed, m, percent))
+    found = linked_components(docs, signed, m, percent)
     classes = signed.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"))
     whole = classes.join(found, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("component"))
     out = signed.drop("halves").join(whole, ["fp1", "fp2"], "left")

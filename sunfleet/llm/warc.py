@@ -19,13 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunfleet.llm.shared import new_path, stored
+from sunfleet.llm.shared import new_path, salted_join, stored
 
 DATE = "2026-01-01T00:00:00Z"
 #: Bytes after which an archive ends.
 ARCHIVE_BYTES = 1 << 26
-#: Parts over which the rows of one payload, or of one response, are dealt out.
-SALTS = 64
 _LEVEL, _READ = 4, 1 << 20
 _END = "\r\n\r\n"
 
@@ -124,19 +122,12 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
             yield done()
 
     # the last join is the one shuffle of payloads; its partitions, cut by size, are the archives
-    joined = _salted_join(rows, firsts, "digest", F.col("row"))
+    joined = salted_join(rows, firsts, "digest", F.col("row"))
     named = (F.col("page_id") == F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url")) & ((F.col("first.n") == 1) | (F.col("row") == F.col("first.row")))
     joined = joined.select("page_id", "url", "html", F.col("first.page_id").alias("first"), F.when(~F.coalesce(named, F.lit(False)), F.col("row")).alias("row"))
     return stored(joined.mapInArrow(write, "file string, n_records long, bytes long"), "archives")
 
 
-def _salted_join(many: DataFrame, one: DataFrame, key: str, by: Column) -> DataFrame:
-    """many join one by `key`, of which `one` has each value once. Rows of a frequent value are dealt out over SALTS parts by
-    `by`; `one` is repeated only for the parts that are there."""
-    salted = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    return salted.join(salted.select(key, "salt").distinct().join(one, key), [key, "salt"]).drop("salt")
-
-
 def member(record: str) -> bytes:
     """A record and the two line breaks that end it, as a gzip member."""
     packer = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31)
@@ -251,7 +242,7 @@ def assemble(records: DataFrame) -> DataFrame:
     revisits = whole.where("type = 'revisit' AND refers_to IS NOT NULL").drop("payload_bytes", "payload_digest")
     asked = revisits.select("refers_to").distinct()
     seen = whole.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"), "payload_bytes", "payload_digest")
-    again = _salted_join(revisits, asked.join(seen, "refers_to", "left"), "refers_to", F.col("record_id"))
+    again = salted_join(revisits, asked.join(seen, "refers_to", "left"), "refers_to", F.col("record_id"))
     return own.unionByName(again.select(*columns[0], "payload_bytes", "payload_digest", F.col("first_page").alias("refers_to"), *columns[1]))
 
 
