@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -137,11 +138,48 @@ def test_tiling_is_greedy_and_longest_first(doc, item, least):
     assert all(doc[j : j + n] == item[i : i + n] for i, j, n in found)
 
 
-def test_contained_items():
-    block = decontamination.Block([7, 8, 9, 10], ["one two three four five six seven eight nine ten", "short item", None, "..."])
-    texts = ["x ONE two, three four five six seven eight nine ten y", "six seven eight nine ten. one two three four five", "one two three four five", "a short item", "", None, "short"]
-    found = block.contained(words.words_of(pa.array(texts), words.NOT_WORD), 0.8)
-    assert sorted((t, i, n) for t, i, _, n in found) == [(0, 0, 1), (1, 0, 2), (3, 1, 1)]
+def test_tiling_of_long_texts_is_fast():
+    rng = np.random.default_rng(6)
+    doc = rng.integers(1, 2**63, 20000, dtype=np.uint64)
+    cuts = [0, *np.sort(rng.choice(19000, 150, replace=False)), 20000]
+    parts = [doc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    item = np.concatenate([parts[i] for i in rng.permutation(len(parts))])
+    began = time.time()
+    found = decontamination.tiles(doc, item)
+    assert time.time() - began < 5 and sum(n for _, _, n in found) >= sum(len(p) for p in parts if len(p) >= decontamination.LEAST)
+    began = time.time()
+    for a, b in ((np.ones(20000, np.uint64), np.ones(7000, np.uint64)), (np.tile(np.array([1, 2], np.uint64), 9000), np.tile(np.array([2, 1, 2, 1, 2, 1, 3], np.uint64), 1000))):
+        found = decontamination.tiles(a, b)
+        assert all((a[j : j + n] == b[i : i + n]).all() for i, j, n in found) and found
+    assert time.time() - began < 20
+
+
+def test_contained_items(spark):
+    items = [(7, "one two three four five six seven eight nine ten"), (8, "short item"), (9, None), (10, "..."), (None, "one two three four five six seven eight nine ten"), (11, "solo")]
+    texts = ["x ONE two, three four five six seven eight nine ten y", "six seven eight nine ten. one two three four five", "one two three four five", "a short item", "", None, "short", "item short", "a solo b solo"]
+    found = decontamination.contained_items(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id or 0, r.n_tiles) for r in found) == [(0, 0, 1), (0, 7, 1), (1, 0, 2), (1, 7, 2), (3, 8, 1), (8, 11, 1)]
+
+
+def test_contained_items_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n, v: " ".join(f"w{x}" for x in rng.integers(0, v, n))
+    items = [(i, text(int(rng.integers(1, 30)), 5)) for i in range(25)]
+    docs = [(i, text(int(rng.integers(0, 80)), 5)) for i in range(60)]
+    for i in range(40):  # moved and broken passages
+        w = items[int(rng.integers(0, 25))][1].split()
+        k = int(rng.integers(0, len(w) + 1))
+        docs.append((100 + i, " ".join([text(9, 5), *w[k:], text(int(rng.integers(0, 2)), 5), *w[:k], text(3, 5)])))
+    docs += [docs[70], docs[71], (None, docs[72][1])]
+    expect = []
+    for d, t in docs:
+        for i, u in items:
+            w = u.split()
+            covered = _tiles(t.split(), w, min(5, len(w)))
+            if covered >= 0.8 * len(w):
+                expect.append((d is None, d or 0, i, round(covered / len(w), 9)))
+    found = decontamination.contained_items(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(expect) > 60 and sorted((r.doc_id is None, r.doc_id or 0, r.item_id, round(r.coverage, 9)) for r in found) == sorted(expect)
 
 
 @settings(max_examples=40, deadline=None)

@@ -188,14 +188,14 @@ def test_toxicity_learns_the_same_from_any_order(spark):
     assert len(found[0][0]) and all((a == b).all() for x in found[1:] for a, b in zip(found[0], x, strict=True))
 
 
-def test_decontamination_blocks_agree(spark, docs):
+def test_decontamination(spark, docs):
     item = " ".join(TEXTS[0].split()[5:30])
     items = spark.createDataFrame([(0, item, 1), (1, None, 1), (2, "", 1), (3, "absent words only here now", 1)], "item_id long, text string, coverage int")
     moved = " ".join(item.split()[12:] + ["gap"] + item.split()[:12])
     more = docs.unionByName(spark.createDataFrame([(500, "start " + moved + " stop", "s"), (501, " ".join(item.split()[:15]), "s")], docs.schema))
     whole = sorted((r.doc_id, r.item_id, round(r.coverage, 6)) for r in decontamination.contained_items(more, items).collect())
     assert [x[:2] for x in whole] == [(0, 0), (500, 0)]
-    assert sorted((r.doc_id, r.item_id, round(r.coverage, 6)) for r in decontamination.contained_items(more, items, block_words=10).collect()) == whole
+    assert sorted((r.doc_id, r.item_id, round(r.coverage, 6)) for r in decontamination.contained_items(more.repartition(5), items.repartition(2)).collect()) == whole
     clean = decontamination.decontaminated(more, items)
     assert clean.columns == more.columns and clean.count() == more.count() - 2
     assert decontamination.contained_items(docs.limit(0), items).count() == 0 and decontamination.contained_items(docs, items.limit(0)).count() == 0
