@@ -20,32 +20,60 @@ def time_index(df: DataFrame, time: str = "time") -> DataFrame:
 
 
 def densify(obs: DataFrame, key: str = "plant", time: str = "time") -> DataFrame:
-    """Each key on the grid of all keys' times; cells without a reading are NULL. The number of times is the length of the
-    series, so they are broadcast; keys times times is the size of the result itself."""
-    times = time_index(obs, time)
-    keys = obs.select(key).distinct()
-    return keys.crossJoin(F.broadcast(times)).join(obs, [key, time], "left")
-
+    """Each key on the grid of all keys' times; cells without a reading are NULL. Readings without a time are in no cell.
 
-def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
+    The number of times is the length of the series, so they are broadcast. A reading brings the empty cells up to the key's
+    next one with it, so that the grid is made where the key's readings are: it isn't shuffled or joined, and all that
+    goes on by key works where it stands.
+    """
+    values = [c for c in obs.columns if c not in (key, time)]
+    times = time_index(obs, time)
+    size = F.broadcast(times.agg(F.count("*").cast("int").alias("__size")))
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last("__at"))
+    placed = obs.join(F.broadcast(times.withColumnRenamed("t_idx", "__at")), time, "left").select(key, "__at", *values).crossJoin(size)
+    ends = placed.withColumns({"__n": F.row_number().over(order), "__next": F.lead("__at").over(order)})
+    # a key none of whose readings has a time still has its cells
+    kept = ends.where((F.col("__n") == 1) | F.col("__at").isNotNull())
+    begin = F.when(F.col("__n") == 1, F.lit(0)).otherwise(F.col("__at"))
+    last = F.greatest(F.coalesce("__next", F.col("__size")) - 1, F.coalesce("__at", F.lit(0)))
+    cells = kept.where("__size > 0").select(key, "__at", *values, F.explode(F.sequence(begin, last)).alias("t_idx"))
+    here = F.col("t_idx") == F.col("__at")
+    return cells.join(F.broadcast(times), "t_idx").select(key, time, "t_idx", *[F.when(here, F.col(v)).alias(v) for v in values])
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], parts: int = 32) -> DataFrame:
     """For each row of left the row of right of the same key that is nearest in time; of two equally near the later one.
 
-    One union and one sort: the last and the next right-hand row are carried over the ordered times."""
+    One union and two running windows: the last and the next right-hand row are carried over the ordered times. A key's rows
+    are cut at `parts` times, and what comes before and after a part is carried over from its neighbours, so that a
+    key with many rows is not one task. Rows without a time match nothing.
+    """
     own = [c for c in left.columns if c not in (key, time)]
     a = left.select(key, time, F.lit(1).alias("__side"), F.struct(*own, F.lit(0)).alias("__own"), F.lit(None).cast(right.schema[time].dataType).alias("__t"), *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
-    b = right.select(key, time, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__own"].dataType).alias("__own"), F.col(time).alias("__t"), *values)
+    b = right.select(key, time, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__own"].dataType).alias("__own"), F.col(time).alias("__t"), *values).where(F.col(time).isNotNull())
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    span = b.agg(F.min(micros(F.col(time))).alias("__lo"), F.max(micros(F.col(time))).alias("__hi"))
+    share = (micros(F.col(time)) - F.col("__lo")).cast("double") / (F.col("__hi") - F.col("__lo") + 1).cast("double")
     hit = F.when(F.col("__side") == 0, F.struct(F.col("__t").alias("t"), *values))
-    order = Window.partitionBy(key).orderBy(time, "__side")
-    before = F.last(hit, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = a.unionByName(b).crossJoin(F.broadcast(span)).withColumn("__part", F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts).cast("int")))).drop("__lo", "__hi").withColumn("__hit", hit)
+    order = Window.partitionBy(key, "__part")
     # rows of equal time stand before their left rows, so "at or before" has them; the next one is strictly later
-    after = F.first(hit, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    both = a.unionByName(b).withColumns({"__before": before, "__after": after}).where("__side = 1")
-    seconds = lambda t: F.unix_micros(t.cast("timestamp"))
-    now = seconds(F.col(time))
-    later = F.col("__before").isNull() | (F.col("__after").isNotNull() & (seconds(F.col("__after.t")) - now <= now - seconds(F.col("__before.t"))))
-    chosen = F.when(later, F.col("__after")).otherwise(F.col("__before"))
-    out = both.withColumn("__hit", chosen)
-    return out.select(key, time, *[F.col(f"__own.{c}").alias(c) for c in own], F.col("__hit.t").alias("matched"), *[F.col(f"__hit.{v}").alias(v) for v in values])
+    before = F.last("__hit", ignorenulls=True).over(order.orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("__hit", ignorenulls=True).over(order.orderBy(F.desc(time), F.desc("__side")).rowsBetween(Window.unboundedPreceding, -1))
+    edges = rows.where("__side = 0").groupBy(key, "__part").agg(F.min_by("__hit", time).alias("__first"), F.max_by("__hit", time).alias("__last"))
+    every = edges.select(key).distinct().crossJoin(F.broadcast(left.sparkSession.range(parts).select(F.col("id").cast("int").alias("__part")))).join(edges, [key, "__part"], "left")
+    by_part = Window.partitionBy(key).orderBy("__part")
+    carried = every.select(
+        key, "__part", F.last("__last", ignorenulls=True).over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"),
+        F.last("__first", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)).alias("__later"),
+    )
+    both = rows.withColumns({"__before": before, "__after": after}).where("__side = 1").join(carried, [key, "__part"], "left")
+    timed = F.col(time).isNotNull()
+    both = both.withColumns({"__before": F.when(timed, F.coalesce("__before", "__earlier")), "__after": F.when(timed, F.coalesce("__after", "__later"))})
+    now = micros(F.col(time))
+    later = F.col("__before").isNull() | (F.col("__after").isNotNull() & (micros(F.col("__after.t")) - now <= now - micros(F.col("__before.t"))))
+    out = both.withColumn("__found", F.when(later, F.col("__after")).otherwise(F.col("__before")))
+    return out.select(key, time, *[F.col(f"__own.{c}").alias(c) for c in own], F.col("__found.t").alias("matched"), *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, point: str = "plant", site: str = "location", cell: float = 0.25) -> DataFrame:

@@ -14,35 +14,41 @@ DAY_KW, GAMMA = 0.05, 0.004
 COMPONENTS = ("m1", "m2", "m3", "m4", "m5")
 
 
+def with_scales(cube: DataFrame, eps: float = EPS) -> DataFrame:
+    """cube (plant, energia, poa in W/m2 and, if given, eta_seed) with the scales of plant_scales() in each row.
+
+    All are windows over a plant's rows, so that the cube is read once and shuffled by plant at most once.
+    """
+    plant = Window.partitionBy("plant")
+    ref = F.col("poa") / 1000.0
+    df = cube.withColumns({"__ref": ref, "__day": true(ref > DAY_KW)})
+    made = F.col("__day") & (F.col("energia") > 0)
+    p99 = lambda x: F.percentile(x, F.lit(0.99)).over(plant)
+    df = df.withColumns(
+        {
+            "__n_made": F.count_if(made).over(plant), "__p_real": p99(F.when(made, F.col("energia"))), "__p_ref": p99(F.when(made, F.col("__ref"))),
+            "__peak": p99(F.when(F.col("__day"), F.col("energia"))), "__day_rows": F.count_if("__day").over(plant),
+        }
+    )
+    good = (F.col("__n_made") > 10) & (F.col("__p_real") > eps) & (F.col("__p_ref") > eps)
+    # a plant without any day row has a peak of 1; one whose day rows are all missing has none
+    df = df.withColumns({"capacity_scale": F.when(good, F.col("__p_real") / F.col("__p_ref")).otherwise(1.0), "day_peak": F.when(F.col("__day_rows") == 0, F.lit(1.0)).otherwise(F.col("__peak"))})
+    of = F.when(F.col("__day") & F.col("energia").isNotNull(), F.col("energia") / (F.col("__ref") * F.col("capacity_scale") + eps))
+    seed = F.first("eta_seed", ignorenulls=True).over(plant) if "eta_seed" in cube.columns else F.lit(0.15)
+    df = df.withColumns({"__eta": F.median(of).over(plant), "__n": F.count(of).over(plant), "__seed": seed})
+    df = df.withColumn("eta_base", clip(F.coalesce(F.when(F.col("__n") > 10, F.col("__eta")), F.col("__seed")), 0.1, 2.0))
+    return df.drop("__ref", "__day", "__n_made", "__p_real", "__p_ref", "__peak", "__day_rows", "__eta", "__n", "__seed")
+
+
 def plant_scales(cube: DataFrame, eps: float = EPS) -> DataFrame:
     """plant, capacity_scale, eta_base, day_peak from daytime rows of plant, energia, poa (W/m2) and, if given, eta_seed.
 
     capacity_scale: ratio of the 99th percentiles of energy and irradiance over rows with energy, 1 where there are 10 or
     fewer; eta_base: median of energy over scaled irradiance, the seed where there are 10 or fewer; within [0.1, 2].
     """
-    ref = F.col("poa") / 1000.0
-    seed = F.first("eta_seed", ignorenulls=True) if "eta_seed" in cube.columns else F.lit(0.15)
-    rows = cube.select("plant", "energia", ref.alias("ref"), true(ref > DAY_KW).alias("day"), *[c for c in ("eta_seed",) if c in cube.columns])
-    made = F.col("day") & (F.col("energia") > 0)
-    first = rows.groupBy("plant").agg(
-        F.count_if(made).alias("n_made"),
-        F.percentile(F.when(made, F.col("energia")), F.lit(0.99)).alias("p_real"),
-        F.percentile(F.when(made, F.col("ref")), F.lit(0.99)).alias("p_ref"),
-        F.percentile(F.when(F.col("day"), F.col("energia")), F.lit(0.99)).alias("day_peak"),
-        F.count_if("day").alias("day_rows"),
-        seed.alias("seed"),
-    )
-    good = (F.col("n_made") > 10) & (F.col("p_real") > eps) & (F.col("p_ref") > eps)
-    # a plant without any day row has a peak of 1; one whose day rows are all missing has none
-    scale = first.select(
-        "plant", "seed", F.when(good, F.col("p_real") / F.col("p_ref")).otherwise(1.0).alias("capacity_scale"),
-        F.when(F.col("day_rows") == 0, F.lit(1.0)).otherwise(F.col("day_peak")).alias("day_peak"),
-    )
-    eta = rows.where("day AND energia IS NOT NULL").join(scale.select("plant", "capacity_scale"), "plant").groupBy("plant").agg(
-        F.median(F.col("energia") / (F.col("ref") * F.col("capacity_scale") + eps)).alias("eta"), F.count("*").alias("n")
-    )
-    base = F.coalesce(F.when(F.col("n") > 10, F.col("eta")), F.col("seed"))
-    return scale.join(eta, "plant", "left").select("plant", "capacity_scale", clip(base, 0.1, 2.0).alias("eta_base"), "day_peak")
+    columns = ["plant", "energia", "poa", *[c for c in ("eta_seed",) if c in cube.columns]]
+    scales = ("capacity_scale", "eta_base", "day_peak")
+    return with_scales(cube.select(*columns), eps).groupBy("plant").agg(*[F.first(c).alias(c) for c in scales])
 
 
 def quality(cube: DataFrame, window: int = 720, least: int | None = None, eps: float = EPS) -> DataFrame:
@@ -52,15 +58,16 @@ def quality(cube: DataFrame, window: int = 720, least: int | None = None, eps: f
     five share one shuffle by plant. m1, m2, m4 and m5 are shown by day only.
     """
     least = max(window // 4, 10) if least is None else least
-    df = cube.join(plant_scales(cube, eps), "plant")
+    # one shuffle and one sort, whose order all windows use
+    sorted_ = cube.select("plant", "t_idx", "time", "energia", "poa", "temp", *[c for c in ("eta_seed",) if c in cube.columns]).repartition("plant").sortWithinPartitions("plant", "t_idx")
+    df = with_scales(sorted_, eps)
     raw = F.col("poa") / 1000.0
     df = df.withColumns({"day": true(raw > DAY_KW), "dark": true(raw < eps), "ref": raw * F.col("capacity_scale")})
     df = df.withColumns({"r": F.when(F.col("day"), F.col("energia")), "v": F.when(F.col("day"), F.col("ref"))})
     eta = F.col("eta_base") * (1.0 - GAMMA * (F.col("temp") - 25.0))
     short = 1.0 - F.col("r") / (F.col("ref") + eps) / (eta + eps)
     df = df.withColumns({"short": clip(short, 0.0), "gap": F.col("energia").isNull().cast("double")})
-    # the windows' own shuffle, asked for here: it keeps the inputs as plain columns in the generated code
-    df = df.select("plant", "t_idx", "time", "energia", "poa", "temp", "capacity_scale", "day_peak", "day", "dark", "ref", "r", "v", "short", "gap").repartition("plant")
+    df = df.select("plant", "t_idx", "time", "energia", "poa", "temp", "capacity_scale", "day_peak", "day", "dark", "ref", "r", "v", "short", "gap")
     roll = Rolling("plant", "t_idx", window)
     r, v = F.col("r"), F.col("v")
     day = F.col("day")

@@ -253,7 +253,7 @@ def nearest_site(spark, d):
 
 @query(
     "nearest_in_time",
-    """WITH l AS (SELECT o_custkey % 100 AS key, o_orderdate AS time, o_orderkey FROM orders), r AS (SELECT key, time, max(v) AS v FROM (SELECT l_suppkey % 100 AS key, l_shipdate AS time, l_extendedprice::DOUBLE AS v FROM lineitem WHERE l_linenumber = 3) GROUP BY 1, 2),
+    """WITH l AS (SELECT o_custkey % 100 AS key, o_orderdate AS time, o_orderkey FROM orders), r AS (SELECT key, time, max(v) AS v FROM (SELECT l_suppkey % 100 AS key, l_shipdate AS time, l_extendedprice::DOUBLE AS v FROM lineitem ) GROUP BY 1, 2),
     b AS (SELECT l.*, r.time AS t0, r.v AS v0 FROM l ASOF LEFT JOIN r ON l.key = r.key AND l.time >= r.time), n AS (SELECT l.o_orderkey, r.time AS t1, r.v AS v1 FROM l ASOF LEFT JOIN r ON l.key = r.key AND l.time < r.time)
     SELECT o_orderkey, CASE WHEN t0 IS NULL OR (t1 IS NOT NULL AND t1 - time <= time - t0) THEN t1 ELSE t0 END AS matched, CASE WHEN t0 IS NULL OR (t1 IS NOT NULL AND t1 - time <= time - t0) THEN v1 ELSE v0 END AS v FROM b JOIN n USING (o_orderkey)""",
 )
@@ -315,7 +315,7 @@ def distance_graph(spark, d):
     return rounded(graph.distance_graph(plants(spark, d), 60.0).where("dist_km > 0.001"), 4)
 
 
-@query("nearest_neighbour_graph", f"WITH {PLANTS}, far AS (SELECT plant, lat * 10 - 400 AS lat, lon FROM plants WHERE plant <= 12), e AS (SELECT a.plant AS src, b.plant AS dst, {HAVERSINE} AS dist_km FROM far a JOIN far b ON a.plant <> b.plant), n AS (SELECT src, arg_min(dst, (dist_km, dst)) AS dst, min(dist_km) AS dist_km FROM e GROUP BY src), u AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, round(dist_km, 4) AS dist_km FROM n) SELECT * FROM u UNION ALL SELECT dst, src, dist_km FROM u")
+@query("nearest_neighbour_graph", f"WITH {PLANTS}, far AS (SELECT plant, lat * 10 - 400 AS lat, lon FROM plants), e AS (SELECT a.plant AS src, b.plant AS dst, {HAVERSINE} AS dist_km FROM far a JOIN far b ON a.plant <> b.plant), n AS (SELECT src, arg_min(dst, (dist_km, dst)) AS dst, min(dist_km) AS dist_km FROM e GROUP BY src), u AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, round(dist_km, 4) AS dist_km FROM n) SELECT * FROM u UNION ALL SELECT dst, src, dist_km FROM u")
 def nearest_neighbour_graph(spark, d):
     far = plants(spark, d).withColumn("lat", F.col("lat") * 10 - 400)
     return rounded(graph.nearest_graph(far).select("src", "dst", "dist_km"), 4)
@@ -428,7 +428,7 @@ def classified_series(spark, d):
     return model.predict(rows)
 
 
-@query("sun_geometry", f"""WITH {PLANTS}, t AS (SELECT DISTINCT date_trunc('hour', ts) AS time FROM events), x AS (SELECT plant, time, lat, lon, dayofyear(time) - 1 AS dy, hour(time)::DOUBLE AS h FROM plants, t WHERE plant <= 5),
+@query("sun_geometry", f"""WITH {PLANTS}, t AS (SELECT DISTINCT date_trunc('hour', ts) AS time FROM events), x AS (SELECT plant, time, lat, lon, dayofyear(time) - 1 AS dy, hour(time)::DOUBLE AS h FROM plants, t),
   g AS (SELECT *, 2 * pi() / 365 * (dy + (h - 12) / 24.0::DOUBLE) AS g FROM x),
   s AS (SELECT *, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS dec, 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) + 4 * lon AS off FROM g),
   e AS (SELECT *, greatest(0, least(1, sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(radians((h * 60 + off) / 4.0::DOUBLE - 180)))) AS sine FROM s)
@@ -482,7 +482,7 @@ def exploded_weather(spark, d):
     return rounded(explode_weather(e).select(F.col("location").alias("vec_id"), F.col("time").alias("i"), "temperature_2m", "cloud_cover"))
 
 
-@query("window_quality", f"WITH {QUALITY}, l AS (SELECT plant, arg_max(pow(coalesce(m1, 0) * coalesce(m2, 0) * coalesce(m3, 0) * coalesce(m4, 0) * coalesce(m5, 0), 0.2), t_idx) AS q FROM quality WHERE t_idx < 1500 GROUP BY 1) SELECT plant, round(q, 5) AS qs_last, round(coalesce((SELECT avg(q) FROM l WHERE q > 0), 0), 5) AS qs_mean FROM l")
+@query("window_quality", f"WITH {QUALITY}, l AS (SELECT plant, arg_max(pow(coalesce(m1, 0) * coalesce(m2, 0) * coalesce(m3, 0) * coalesce(m4, 0) * coalesce(m5, 0), 0.2), t_idx) AS q FROM quality GROUP BY 1) SELECT plant, round(q, 5) AS qs_last, round(coalesce((SELECT avg(q) FROM l WHERE q > 0), 0), 5) AS qs_mean FROM l")
 def window_quality(spark, d):
     return rounded(continual.window_quality(scored(spark, d)), 5)
 

@@ -108,6 +108,37 @@ def test_densified_gaps_are_null(spark):
     assert align.median_readings(spark.createDataFrame([(1, 1.0), (1, 5.0), (1, None)], "k int, v double"), ["k"], "v").first().v == 3.0
 
 
+def test_densified_grid_is_that_of_a_plain_join(spark):
+    rows = [(k, int(t), float(v)) for k, t, v in zip(RNG.integers(0, 6, 60), RNG.integers(0, 15, 60), RNG.random(60), strict=True)]
+    rows += [(1, None, 5.0), (1, None, 6.0), (9, None, 7.0), (9, None, 8.0), (rows[0][0], rows[0][1], 0.5), (None, 3, 1.0)]
+    times = sorted({t for _, t, _ in rows if t is not None})
+    expect = []
+    for k in {k for k, _, _ in rows}:
+        for i, t in enumerate(times):
+            found = [v for a, b, v in rows if a == k and b == t]
+            expect += [(k is None, k or 0, t, i, v) for v in found or [None]]
+    found = align.densify(spark.createDataFrame(rows, "plant int, time int, energia double").repartition(3)).collect()
+    key = lambda x: (x[:4], x[4] is None, x[4] or 0)
+    assert sorted(((r.plant is None, r.plant or 0, r.time, r.t_idx, r.energia) for r in found), key=key) == sorted(expect, key=key)
+    assert align.densify(spark.createDataFrame([], "plant int, time int, energia double")).count() == 0
+
+
+def test_nearest_in_time_of_a_frequent_key(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    at = lambda h: base + dt.timedelta(minutes=int(h))
+    left = [(int(k), at(t), i) for i, (k, t) in enumerate(zip(RNG.choice([1, 1, 1, 2, 3], 400), RNG.integers(0, 3000, 400), strict=True))] + [(1, None, 900)]
+    right = [(1, at(t), float(i)) for i, t in enumerate(sorted(set(RNG.integers(200, 2500, 150).tolist())))] + [(2, at(50), -1.0), (1, None, -2.0)]
+    a = spark.createDataFrame(left, "k int, time timestamp, id int")
+    b = spark.createDataFrame(right, "k int, time timestamp, v double")
+    for parts in (1, 7, 32):
+        got = {r.id: r.v for r in align.nearest_in_time(a, b, "k", "time", ["v"], parts).collect()}
+        for k, t, i in left:
+            mine = [(abs((x - t).total_seconds()), -x.timestamp(), v) for c, x, v in right if c == k and x is not None and t is not None]
+            assert got[i] == (min(mine)[2] if mine else None)
+
+
 def test_graph_radius_and_fallback(spark):
     places = [(i, float(RNG.uniform(44, 45)), float(RNG.uniform(7, 8.5))) for i in range(60)] + [(60, 89.9, 10.0), (61, 89.9, -170.0), (62, None, 1.0), (63, 0.0, 179.99), (64, 0.0, -179.99)]
     df = spark.createDataFrame(places, "plant int, lat double, lon double")
