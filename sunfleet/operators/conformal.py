@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from math import ceil
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunfleet.functions.scalar import clip, digitize
+from sunfleet.operators import quantiles
 
 
 def band(qs: Column | str, n: int = 3) -> Column:
@@ -14,16 +17,6 @@ def band(qs: Column | str, n: int = 3) -> Column:
     return digitize(qs, edges)
 
 
-def ranked_quantile(df: DataFrame, key: str, value: str, share: Column) -> DataFrame:
-    """key, n, quantile: the linear quantile of each group at a share that may depend on the group's n."""
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"))
-    whole = Window.partitionBy(key)
-    ranked = rows.withColumns({"k": F.row_number().over(whole.orderBy("v")) - 1, "n": F.count("*").over(whole)})
-    at = share * (F.col("n") - 1)
-    weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("k") - at))
-    return ranked.groupBy(key, "n").agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("quantile"))
-
-
 class BandedConformal:
     """Half-widths by score band: the quantile of absolute errors at c * (n + 1) / n; of all errors where a band has none."""
 
@@ -32,14 +25,12 @@ class BandedConformal:
 
     def calibrate(self, df: DataFrame, true: str = "true_pv", pred: str = "pred_pv", qs: str = "qs") -> BandedConformal:
         scores = df.select(F.abs(F.col(true) - F.col(pred)).alias("score"), band(qs, self.n_bins).alias("band")).where("score IS NOT NULL AND band IS NOT NULL")
-        share = F.least(self.confidence * (F.col("n") + 1) / F.col("n"), F.lit(1.0))
-        own = ranked_quantile(scores, "band", "score", share)
-        overall = scores.agg(F.percentile("score", F.lit(self.confidence)).alias("all"))
-        every = df.sparkSession.range(self.n_bins).select(F.col("id").cast("int").alias("band"))
-        self.bands = every.join(own, "band", "left").crossJoin(F.broadcast(overall)).select(
-            "band", F.coalesce("n", F.lit(0)).alias("n_cal"), F.coalesce("quantile", "all").alias("quantile"),
-            (F.col("band") / self.n_bins).alias("qs_lo"), ((F.col("band") + 1) / self.n_bins).alias("qs_hi"),
-        )
+        own = quantiles.by_group(scores, "band", "score", lambda n: [min(self.confidence * (n + 1) / n, 1.0)])
+        missing = [b for b in range(self.n_bins) if b not in own]
+        overall = quantiles.overall(scores, "score", [self.confidence])[0] if missing else None
+        found = {b: (own[b][0], own[b][1][0]) if b in own else (0, overall) for b in range(self.n_bins)}
+        rows = [(b, n, q, b / self.n_bins, (b + 1) / self.n_bins) for b, (n, q) in found.items()]
+        self.bands = df.sparkSession.createDataFrame(rows, "band int, n_cal long, quantile double, qs_lo double, qs_hi double")
         return self
 
     def coverage_report(self) -> DataFrame:
@@ -63,18 +54,19 @@ class ScoreConformal:
         self.alpha, self.n_bins, self.least, self.edges, self.widths = alpha, n_bins, least, None, None
 
     def fit(self, df: DataFrame, pred: str = "pred", true: str = "true") -> ScoreConformal:
-        shares = F.array(*[F.lit(k / self.n_bins) for k in range(self.n_bins + 1)])
-        self.edges = list(df.agg(F.percentile(true, shares).alias("p")).first()[0])
-        self.edges[0] -= 1e-6
+        edges = quantiles.overall(df, true, [k / self.n_bins for k in range(self.n_bins + 1)])
+        if edges[0] is None:
+            raise ValueError("no true scores to fit on")
+        self.edges = [edges[0] - 1e-6, *edges[1:]]
         rows = df.select(F.abs(F.col(true) - F.col(pred)).alias("score"), digitize(true, self.edges[1:-1]).alias("bin"))
-        sizes = {r.bin: r["count"] for r in rows.groupBy("bin").count().collect()}  # n_bins rows
-        small = [b for b in range(self.n_bins) if sizes.get(b, 0) < self.least]
-        used = rows.where(~F.col("bin").isin(small)) if small else rows
-        for b in small:  # too few of its own: all rows
-            used = used.unionByName(rows.withColumn("bin", F.lit(b)))
-        ranked = used.withColumns({"k": F.row_number().over(Window.partitionBy("bin").orderBy("score")), "n": F.count("*").over(Window.partitionBy("bin"))})
-        place = F.least(F.ceil((F.col("n") + 1) * (1 - self.alpha)), F.col("n"))
-        self.widths = ranked.where(F.col("k") == place).select("bin", F.col("score").alias("half_width"), "n")
+        # the place'th score of n is the quantile at (place - 1) / (n - 1)
+        place = lambda n: min(ceil((n + 1) * (1 - self.alpha)), n)
+        share = lambda n: [(place(n) - 1) / max(n - 1, 1)]
+        own = quantiles.by_group(rows, "bin", "score", share)
+        few = [b for b in range(self.n_bins) if b not in own or own[b][0] < self.least]
+        every = quantiles.by_group(rows, F.lit(0), "score", share)[0] if few else None  # too few of its own: all rows
+        found = [(b, *(every if b in few else own[b])) for b in range(self.n_bins)]
+        self.widths = df.sparkSession.createDataFrame([(b, q[0], n) for b, n, q in found], "bin int, half_width double, n long")
         return self
 
     def predict(self, df: DataFrame, pred: str = "pred") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunfleet.functions.scalar import bucket, clip, digitize
+from sunfleet.operators import quantiles
 
 KPIS = ("rmse", "mae", "both", "none")
 NAMES = ("low", "mid-low", "mid", "mid-high", "high")
@@ -44,8 +45,9 @@ def finite(df: DataFrame, *names: str) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, value: str = "qs", at: tuple[float, ...] = (0.05, 0.25, 0.75, 0.95)) -> list[float]:
-    """Percentiles of `value`; a handful of numbers."""
-    return list(df.agg(F.percentile(value, F.array(*[F.lit(a) for a in at])).alias("p")).first()[0] or [])
+    """Percentiles of `value`; none without a value."""
+    found = quantiles.overall(df, value, list(at))
+    return [] if found[0] is None else found
 
 
 def by_bins(df: DataFrame, edges: list[float], value: str = "qs", pred: str = "pred_pv", true: str = "true_pv", labels: tuple[str, ...] = NAMES) -> DataFrame:
@@ -74,9 +76,10 @@ def strata(df: DataFrame, pv_edges: list[float], qs_edges: list[float], least: i
 
 def summary(df: DataFrame, value: str) -> DataFrame:
     """One row: n, mean, std (population) and the 10th, 25th, 50th, 75th and 90th percentile."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    one = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), p.alias("p"))
-    return one.select("n", "mean", "std", *[F.get("p", F.lit(i)).alias(f"p{x}") for i, x in enumerate((10, 25, 50, 75, 90))])
+    names = (10, 25, 50, 75, 90)
+    found = quantiles.overall(df, value, [x / 100 for x in names])
+    one = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return one.select("n", "mean", "std", *[F.lit(p).cast("double").alias(f"p{x}") for p, x in zip(found, names, strict=True)])
 
 
 def level_counts(df: DataFrame, value: str = "qs") -> DataFrame:

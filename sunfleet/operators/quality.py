@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sunfleet.functions.rolling import Rolling
 from sunfleet.functions.scalar import EPS, clip, sigmoid, true
+from sunfleet.operators import quantiles
 
 #: Irradiance (kW/m2) over which it is day, and the temperature coefficient of efficiency per kelvin.
 DAY_KW, GAMMA = 0.05, 0.004
@@ -96,8 +97,8 @@ def reliability_bins(df: DataFrame, bins: int = 24, least: int = 200) -> DataFra
     """bin, centre, n, std, reliability: spread of daytime scores by valid count, in equal bins over [0, p99 of the count].
     Values on the last edge belong to no bin. One row per bin with `least` rows or more."""
     rows = df.where((F.col("poa") / 1000.0 > DAY_KW) & F.col("qs").isNotNull()).select("valid_count", "qs")
-    top = rows.agg(F.percentile("valid_count", F.lit(0.99)).alias("top"))
-    placed = rows.crossJoin(F.broadcast(top)).where("top > 0").withColumn("bin", F.floor(F.col("valid_count") / (F.col("top") / bins)).cast("int"))
+    top = F.lit(quantiles.overall(rows, "valid_count", [0.99])[0]).cast("double")
+    placed = rows.withColumn("top", top).where("top > 0").withColumn("bin", F.floor(F.col("valid_count") / (F.col("top") / bins)).cast("int"))
     grouped = placed.where((F.col("bin") >= 0) & (F.col("bin") < bins)).groupBy("bin", "top").agg(F.count("*").alias("n"), F.stddev_pop("qs").alias("std")).where(F.col("n") >= least)
     best = F.max("std").over(Window.partitionBy())  # at most `bins` rows
     return grouped.select("bin", ((F.col("bin") + 0.5) * F.col("top") / bins).alias("centre"), "n", "std", (1 - F.col("std") / F.nullif(best, F.lit(0.0))).alias("reliability"))
@@ -142,11 +143,13 @@ def prior(df: DataFrame, least: int = 100) -> DataFrame:
     """One row: threshold (90th percentile of the daytime valid count) and prior (median of scores within (0, 1) above it);
     0.5 where fewer than `least` rows are left at either step."""
     day = df.where((F.col("poa") / 1000.0 > DAY_KW) & F.col("qs").isNotNull())
-    cut = day.agg(F.percentile("valid_count", F.lit(0.9)).alias("threshold"), F.count("*").alias("n_day"))
-    inside = (F.col("valid_count") >= F.col("threshold")) & (F.col("qs") > 0) & (F.col("qs") < 1)
-    return day.crossJoin(F.broadcast(cut)).where(inside).groupBy().agg(F.first("threshold").alias("threshold"), F.first("n_day").alias("n_day"), F.count("*").alias("n"), F.median("qs").alias("middle")).select(
-        "threshold", "n", F.when((F.col("n_day") >= least) & (F.col("n") >= least), F.col("middle")).otherwise(0.5).alias("prior")
-    )
+    found = quantiles.by_group(day, F.lit(0), "valid_count", lambda n: [0.9])
+    n_day, threshold = (found[0][0], found[0][1][0]) if found else (0, None)
+    inside = day.where((F.col("valid_count") >= F.lit(threshold)) & (F.col("qs") > 0) & (F.col("qs") < 1)) if found else day.where("false")
+    middle = quantiles.by_group(inside, F.lit(0), "qs", lambda n: [0.5])
+    n, centre = (middle[0][0], middle[0][1][0]) if middle else (0, 0.5)
+    row = (threshold if n else None, n, centre if n_day >= least and n >= least else 0.5)
+    return df.sparkSession.createDataFrame([row], "threshold double, n long, prior double")
 
 
 def shrink(df: DataFrame, n0: float, scale: float, centre: float, asymmetric: bool = True):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sunfleet.functions.rolling import Rolling
 from sunfleet.functions.scalar import bucket, clip, dilation, haversine_km, linspace, nan_to_null, pad_left, softmax_top
-from sunfleet.operators import align, conformal, continual, diagnose, evaluate, features, forecast, graph, learn, quality
+from sunfleet.operators import align, conformal, continual, diagnose, evaluate, features, forecast, graph, learn, quality, quantiles
 from sunfleet.sources import files
 from sunfleet.sources.synthetic import synthetic_arrays, synthetic_fleet
 
@@ -108,8 +108,22 @@ def test_densified_gaps_are_null(spark):
     assert align.median_readings(spark.createDataFrame([(1, 1.0), (1, 5.0), (1, None)], "k int, v double"), ["k"], "v").first().v == 3.0
 
 
+def test_quantiles_of_groups(spark):
+    values = [(int(k), float(v)) for k, v in zip(RNG.integers(0, 3, 3000), np.round(RNG.normal(size=3000), 2), strict=True)] + [(0, 1.5)] * 2000 + [(4, 7.0), (5, None), (None, 2.0)]
+    df = spark.createDataFrame(values, "g int, v double")
+    shares = [0.0, 0.01, 0.33, 0.5, 0.9, 0.999, 1.0]
+    for most in (1_000_000, 50):
+        found = quantiles.by_group(df, "g", "v", lambda n: shares, most)
+        assert set(found) == {0, 1, 2, 4, None}
+        for g, (n, got) in found.items():
+            own = [v for k, v in values if k == g and v is not None]
+            assert n == len(own) and np.allclose(got, np.quantile(own, shares))
+    assert quantiles.overall(df, "v", [0.5]) == [float(np.median([v for _, v in values if v is not None]))]
+    assert quantiles.overall(df.where("g = 5"), "v", [0.5, 0.9]) == [None, None]
+
+
 def test_densified_grid_is_that_of_a_plain_join(spark):
-    rows = [(k, int(t), float(v)) for k, t, v in zip(RNG.integers(0, 6, 60), RNG.integers(0, 15, 60), RNG.random(60), strict=True)]
+    rows = [(int(k), int(t), float(v)) for k, t, v in zip(RNG.integers(0, 6, 60), RNG.integers(0, 15, 60), RNG.random(60), strict=True)]
     rows += [(1, None, 5.0), (1, None, 6.0), (9, None, 7.0), (9, None, 8.0), (rows[0][0], rows[0][1], 0.5), (None, 3, 1.0)]
     times = sorted({t for _, t, _ in rows if t is not None})
     expect = []
