@@ -109,6 +109,19 @@ def nearest_site(points: DataFrame, sites: DataFrame, point: str = "plant", site
         ring *= 4
 
 
+def same_place(points: DataFrame, sites: DataFrame, digits: int | None = None) -> DataFrame:
+    """points with the columns of the sites at the very same lat and lon, or at the same ones rounded half-even to `digits`
+    places; NULLs where there is none, several rows where there are several."""
+    near = lambda c: c if digits is None else F.bround(c, digits)
+    own = sites.withColumnsRenamed({"lat": "__lat", "lon": "__lon"})
+    return points.join(own, (near(F.col("lat")) == near(F.col("__lat"))) & (near(F.col("lon")) == near(F.col("__lon"))), "left").drop("__lat", "__lon")
+
+
+def without_match(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df that have none in other."""
+    return df.join(other.select(*on), on, "left_anti")
+
+
 def first_per_key(df: DataFrame, key: str, order: Column | str) -> DataFrame:
     """One row per key, the first by `order`."""
     w = Window.partitionBy(key).orderBy(order)

@@ -93,6 +93,16 @@ def top(df: DataFrame, by: str, k: int, key: str = "plant", lowest: bool = False
     return df.where(F.col(by).isNotNull()).orderBy(order, key).limit(k)
 
 
+def gather(df: DataFrame, wanted: DataFrame, value: str = "qs") -> DataFrame:
+    """wanted (plant, t_idx and whatever else) with df's value at those places, NULL where there is none."""
+    return wanted.join(df.select("plant", "t_idx", value), ["plant", "t_idx"], "left")
+
+
+def month_labels(time: Column | str) -> tuple[Column, Column]:
+    """A time's month as "Jan" and as "Jan 2024"."""
+    return F.date_format(time, "MMM"), F.date_format(time, "MMM yyyy")
+
+
 def months(df: DataFrame, time: str = "time") -> DataFrame:
     """month, rows, coverage: rows in percent of those that hourly data of the whole month would have."""
     first = F.date_trunc("month", F.col(time))

@@ -8,12 +8,11 @@ from sunfleet.functions.scalar import bucket, clip, haversine_km, week_ending
 from sunfleet.functions.solar import clear_sky_kw, elevation_sine
 from sunfleet.operators import align, continual, diagnose, features, graph, learn, quality
 from sunfleet.plans.catalog import query
-from sunfleet.plans.tables import CUBE, LEAST, PLANTS, QUALITY, SCALES, SITES, WINDOW, cube, plants, readings, rounded, sites, table
+from sunfleet.plans.tables import CUBE, LEAST, PLANTS, QUALITY, SCALES, SITES, WINDOW, cube, kept, plants, readings, rounded, sites, table
 
 
 def scored(spark, d):
-    """The scores are kept: most reports read them more than once, and equal plans share what is kept."""
-    return quality.quality(cube(spark, d), WINDOW, LEAST).persist()
+    return kept(spark, d, "scores", lambda: quality.quality(cube(spark, d), WINDOW, LEAST))
 
 
 def counted(spark, d):
@@ -122,7 +121,7 @@ def shrunk_scores_symmetric(spark, d):
 @query("shrunk_scores_fitted")
 def shrunk_scores_fitted(spark, d):
     """With the sigmoid fitted to the reliability bins and the prior from the data."""
-    c = counted(spark, d).persist()
+    c = counted(spark, d)
     n0, scale = quality.fit_confidence(c)
     centre = quality.prior(c).select("prior").first()
     return quality.shrink(c, n0, scale, centre[0] if centre else 0.5).groupBy("plant").agg(F.avg("shrunk").alias("shrunk"), F.avg("confidence").alias("confidence"))
@@ -148,9 +147,9 @@ def fleet_mean(spark, d):
     return rounded(quality.fleet_mean(scored(spark, d)).select("t_idx", "fleet_qs"), 5)
 
 
-@query("isolated_faults", f"WITH {QUALITY}, f AS (SELECT t_idx, avg(qs) AS m, stddev_pop(qs) AS s FROM quality GROUP BY 1) SELECT plant, count(*) AS n FROM quality JOIN f USING (t_idx) WHERE (qs - m) / (s + 1e-6) < -2 GROUP BY plant")
+@query("isolated_faults", f"WITH {QUALITY}, f AS (SELECT t_idx, avg(qs) AS m, stddev_pop(qs) AS s FROM quality GROUP BY 1) SELECT plant, count(*) AS n FROM quality JOIN f USING (t_idx) WHERE (qs - m) / (s + 1e-6) < -1 GROUP BY plant")
 def isolated_faults(spark, d):
-    return quality.spatial_z(scored(spark, d)).where("z < -2").groupBy("plant").agg(F.count("*").alias("n"))
+    return quality.spatial_z(scored(spark, d)).where("z < -1").groupBy("plant").agg(F.count("*").alias("n"))
 
 
 COMPACT = QUALITY + ", compact AS (SELECT plant, (row_number() OVER (PARTITION BY plant ORDER BY t_idx) - 1)::INT AS k, qs AS v FROM quality WHERE qs IS NOT NULL)"
@@ -186,13 +185,13 @@ def fault_scenarios(spark, d):
     return s.withColumns({k: F.round(k, v) for k, v in digits.items()})
 
 
-@query(
-    "causes",
-    f"""WITH {COMPACT}, n AS (SELECT *, count(*) OVER (PARTITION BY plant) AS n FROM compact),
-    e AS (SELECT plant, max(n) AS n_valid, avg(v) FILTER (k < 50) AS head, avg(v) FILTER (k >= n - 50) AS tail, CASE WHEN count(*) > 1 THEN regr_slope(v, k) END AS slope FROM n GROUP BY 1), a AS ({AUTO}),
-    j AS (SELECT p.plant, coalesce(n_valid, 0) AS n_valid, head, tail, slope, autocorr FROM (SELECT DISTINCT plant FROM quality) p LEFT JOIN e USING (plant) LEFT JOIN a USING (plant))
-    SELECT plant, n_valid, round(head, 5) AS head, round(tail, 5) AS tail, CASE WHEN n_valid < 10 THEN 'normal' WHEN n_valid > 50 AND tail < 0.3 AND head > 0.5 THEN 'sensor_failure' WHEN slope < -3e-4 THEN 'gradual_degradation' WHEN n_valid > 60 AND autocorr > 0.3 THEN 'soiling_cycle' ELSE 'normal' END AS cause FROM j""",
-)
+CAUSES = f"""{COMPACT}, n AS (SELECT *, count(*) OVER (PARTITION BY plant) AS n FROM compact),
+  e AS (SELECT plant, max(n) AS n_valid, avg(v) FILTER (k < 50) AS head, avg(v) FILTER (k >= n - 50) AS tail, CASE WHEN count(*) > 1 THEN regr_slope(v, k) END AS slope FROM n GROUP BY 1), a AS ({AUTO}),
+  j AS (SELECT p.plant, coalesce(n_valid, 0) AS n_valid, head, tail, slope, autocorr FROM (SELECT DISTINCT plant FROM quality) p LEFT JOIN e USING (plant) LEFT JOIN a USING (plant)),
+  causes AS (SELECT plant, n_valid, head, tail, CASE WHEN n_valid < 10 THEN 'normal' WHEN n_valid > 50 AND tail < 0.3 AND head > 0.5 THEN 'sensor_failure' WHEN slope < -3e-4 THEN 'gradual_degradation' WHEN n_valid > 60 AND autocorr > 0.3 THEN 'soiling_cycle' ELSE 'normal' END AS cause FROM j)"""
+
+
+@query("causes", f"WITH {CAUSES} SELECT plant, n_valid, round(head, 5) AS head, round(tail, 5) AS tail, cause FROM causes")
 def causes(spark, d):
     return rounded(diagnose.cause_by_rule(scored(spark, d), 60, 50).select("plant", "n_valid", "head", "tail", "cause"), 5)
 
@@ -225,7 +224,18 @@ def plant_report(spark, d):
     return diagnose.report(scored(spark, d), half=100)[0]
 
 
-@query("decisions")
+@query(
+    "plant_figures",
+    f"""WITH {CAUSES}, f AS (SELECT t_idx, avg(qs) AS m, stddev_pop(qs) AS s FROM quality GROUP BY 1), z AS (SELECT plant, avg((qs - m) / (s + 1e-6)) AS z_mean FROM quality JOIN f USING (t_idx) GROUP BY 1),
+    s AS (SELECT plant, CASE WHEN count(qs) >= 10 THEN regr_slope(qs, t_idx) ELSE 0.0 END AS slope FROM quality GROUP BY 1)
+    SELECT plant, round(slope, 7) AS slope, round(z_mean, 4) AS z_mean, cause, 1.0::DOUBLE AS confidence FROM s JOIN z USING (plant) JOIN causes USING (plant)""",
+)
+def plant_figures(spark, d):
+    f = diagnose.figures(scored(spark, d), 60, 50)
+    return f.withColumns({"slope": F.round("slope", 7) + F.lit(0.0), "z_mean": F.round("z_mean", 4) + F.lit(0.0)})
+
+
+@query("decisions", f"""WITH {CAUSES} SELECT plant, cause, cause NOT IN ('sensor_failure', 'regional_cloud_event') AS update, cause <> 'sensor_failure' AS replay, cause IN ('sensor_failure', 'soiling_cycle') AS alert FROM causes""")
 def decisions(spark, d):
     return diagnose.decide(diagnose.cause_by_rule(scored(spark, d), 60, 50).select("plant", "cause"))
 
@@ -266,10 +276,18 @@ def nearest_in_time(spark, d):
 
 @query("rounded_site_join", f"WITH {PLANTS}, {SITES} SELECT p.plant, coalesce(s.location, -1) AS location FROM plants p LEFT JOIN sites s ON round_even(p.lat, 1) = round_even(s.lat, 1) AND round_even(p.lon, 1) = round_even(s.lon, 1)")
 def rounded_site_join(spark, d):
-    p, s = plants(spark, d), sites(spark, d)
-    cell = lambda x: (F.bround(x["lat"], 1), F.bround(x["lon"], 1))
-    (a, b), (e, f) = cell(p), cell(s)
-    return p.join(s, (a == e) & (b == f), "left").select(p["plant"], F.coalesce("location", F.lit(-1)).alias("location"))
+    return align.same_place(plants(spark, d), sites(spark, d), 1).select("plant", F.coalesce("location", F.lit(-1)).alias("location"))
+
+
+@query("exact_site_join", f"WITH {PLANTS}, {SITES} SELECT p.plant, s.location FROM plants p LEFT JOIN sites s ON p.lat = s.lat AND p.lon = s.lon")
+def exact_site_join(spark, d):
+    return align.same_place(plants(spark, d), sites(spark, d)).select("plant", "location")
+
+
+@query("unplaced_customers", "SELECT c_custkey FROM customer ANTI JOIN (SELECT s_suppkey AS c_custkey FROM supplier WHERE s_suppkey % 3 <> 0) USING (c_custkey)")
+def unplaced_customers(spark, d):
+    s = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("c_custkey"))
+    return align.without_match(table(spark, d, "customer").select("c_custkey"), s, ["c_custkey"])
 
 
 @query("missing_coordinates", "SELECT count(*) AS n, count(*) FILTER (s_suppkey IS NULL) AS missing FROM customer LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0) ON c_custkey = s_suppkey")
@@ -364,11 +382,59 @@ def lag_windows(spark, d):
     return w.groupBy("plant").agg(F.count("*").alias("n"), F.min("t_idx").alias("first_t"), F.max("t_idx").alias("last_t"), at(0).alias("oldest"), at(23).alias("newest"))
 
 
-@query("feature_rows")
+SUN = """sin_elev AS (SELECT *, greatest(0, least(1, sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(radians((h * 60 + off) / 4.0::DOUBLE - 180)))) AS sine FROM (
+    SELECT *, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS dec,
+      229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) + 4 * lon AS off
+    FROM (SELECT *, 2 * pi() / 365 * (dayofyear(time) - 1 + (hour(time) - 12) / 24.0::DOUBLE) AS g, hour(time)::DOUBLE AS h FROM placed))),
+  lit AS (SELECT *, CASE WHEN sine > 1e-3 THEN 1.098::DOUBLE * sine * exp(-0.057::DOUBLE / sine) ELSE 0 END AS ghi_cs FROM sin_elev)"""
+
+
+@query(
+    "feature_rows",
+    f"""WITH {QUALITY}, {PLANTS}, placed AS (SELECT q.*, ((q.plant + t_idx * 3) % 80) / 10.0::DOUBLE AS wind, p.lat, p.lon FROM quality q JOIN plants p USING (plant)), {SUN},
+    f AS (SELECT *, coalesce(energia, 0) AS e, greatest(coalesce(poa / 1000.0::DOUBLE, 0), 0) AS s, sine > 0.05 AND coalesce(poa / 1000.0::DOUBLE, 0) > 0.03 AS day FROM lit),
+    sc AS (SELECT plant, CASE WHEN count(*) FILTER (day AND e > 0) > 10 THEN quantile_cont(e, 0.99) FILTER (day AND e > 0) + 1e-6 ELSE 1.0 END AS pv_scale, CASE WHEN count(*) FILTER (day AND s > 0) > 10 THEN quantile_cont(s, 0.99) FILTER (day AND s > 0) + 1e-6 ELSE 1.0 END AS solar_p99 FROM f GROUP BY 1),
+    g AS (SELECT plant, pv_scale, count(*) FILTER (day AND s > 0 AND e > 0) AS n_valid, sum((s / solar_p99) ** 2 * least(1.5, e / pv_scale)) FILTER (day AND s > 0 AND e > 0) AS a, sum((s / solar_p99) ** 3) FILTER (day AND s > 0 AND e > 0) AS b FROM f JOIN sc USING (plant) GROUP BY 1, 2),
+    k AS (SELECT *, CASE WHEN n_valid > 10 THEN a / (b + 1e-12) ELSE 1.0 END AS eta FROM g), m AS (SELECT coalesce(median(eta) FILTER (n_valid >= 50), 0.8) AS fleet FROM k),
+    z AS (SELECT avg(temp) AS mt, stddev_pop(temp) AS st, avg(poa) AS mp, stddev_pop(poa) AS sp, avg(wind) AS mw, stddev_pop(wind) AS sw FROM f)
+    SELECT plant, round(avg(coalesce((temp - mt) / (st + 1e-6), 0)), 5) + 0.0::DOUBLE AS temp_z, round(avg(coalesce((poa - mp) / (sp + 1e-6), 0)), 5) + 0.0::DOUBLE AS poa_z, round(avg(coalesce((wind - mw) / (sw + 1e-6), 0)), 5) + 0.0::DOUBLE AS wind_z,
+      round(avg(sine), 5) AS sin_elev, round(avg(sqrt(1 - sine * sine)), 5) AS cos_elev, {", ".join(f"round(avg(coalesce(m{i}, 0)), 5) AS m{i}" for i in range(1, 6))},
+      round(avg(least(1.5, e / pv_scale)), 5) AS pv_lag, round(avg(s), 5) AS y_ghi, round(avg(least(1.5, e / pv_scale)), 5) AS y_pv,
+      round(avg(least(0.98, greatest(0.1, CASE WHEN n_valid < 50 THEN fleet ELSE eta END))), 5) AS eta, round(avg(ghi_cs), 5) AS ghi_cs
+    FROM f JOIN k USING (plant), m, z GROUP BY plant""",
+)
 def feature_rows(spark, d):
     """All channels of the forecaster, averaged by plant."""
     f = features.feature_rows(feature_cube(spark, d))
-    return f.groupBy("plant").agg(*[F.avg(c).alias(c) for c in (*features.CHANNELS, "y_ghi", "y_pv", "eta", "ghi_cs")])
+    return rounded(f.groupBy("plant").agg(*[F.avg(c).alias(c) for c in (*features.CHANNELS, "y_ghi", "y_pv", "eta", "ghi_cs")]), 5)
+
+
+@query("fallback_weather", f"WITH {PLANTS}, placed AS (SELECT plant, time, lat, lon FROM plants, (SELECT DISTINCT date_trunc('hour', ts) AS time FROM events)), {SUN} SELECT plant, time, round(ghi_cs * 1000, 3) AS poa, round(10 + 12 * sin(pi() * (dayofyear(time) - 80) / 180), 5) AS temp, 3.0::DOUBLE AS wind FROM lit")
+def fallback_weather(spark, d):
+    from sunfleet.sources.files import fallback_weather as weather
+
+    t = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("time")).distinct()
+    w = weather(plants(spark, d).select("plant", "lat", "lon").crossJoin(F.broadcast(t)).select("plant", "time", "lat", "lon"))
+    return w.select("plant", F.col("time").cast("timestamp_ntz").alias("time"), F.round("poa", 3).alias("poa"), F.round("temp", 5).alias("temp"), "wind")
+
+
+LABEL = "CASE WHEN plant % 5 = 0 THEN 'sensor_failure' WHEN plant % 7 = 0 AND t_idx > 1000 THEN 'soiling_cycle' ELSE 'normal' END"
+WINDOWS = f"{QUALITY}, s AS (SELECT max(t_idx) + 1 AS n FROM quality), h AS (SELECT unnest(range(240, n, 120)) AS t FROM s), w AS (SELECT plant, t::INT AS t, arg_max({LABEL}, t_idx) AS label, sum(coalesce(qs, 0.5)) AS total, count(qs) AS filled FROM h JOIN quality ON t_idx >= t - 240 AND t_idx < t GROUP BY 1, 2 HAVING count(*) = 240 AND count(qs) >= 0.3 * 240)"
+
+
+def windows(spark, d):
+    return learn.labelled_windows(scored(spark, d).withColumn("label", F.expr(LABEL)), "label", 240, 120)
+
+
+@query("labelled_windows", f"WITH {WINDOWS} SELECT plant, t, label, round(total, 3) AS total FROM w")
+def labelled_windows(spark, d):
+    total = F.aggregate("series", F.lit(0.0), lambda a, v: a + v)
+    return windows(spark, d).select("plant", F.col("t").cast("int").alias("t"), "label", F.round(total, 3).alias("total"))
+
+
+@query("training_classes", f"WITH {WINDOWS}, n AS (SELECT count(*) FILTER (label <> 'normal') AS faults FROM w) SELECT label, CASE WHEN label = 'normal' THEN least(count(*), greatest(2 * max(faults), 20)) ELSE count(*) END AS n FROM w, n GROUP BY label")
+def training_classes(spark, d):
+    return learn.undersampled(windows(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("hop_windows", f"WITH {CUBE}, s AS (SELECT max(t_idx) + 1 AS n FROM cube), h AS (SELECT unnest(range(240, n, 56)) AS t FROM s) SELECT t::INT AS t, count(*) AS n, count(energia) AS filled, round(avg(energia), 5) AS mean FROM h JOIN cube ON t_idx >= t - 240 AND t_idx < t GROUP BY t")

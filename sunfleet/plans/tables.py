@@ -6,6 +6,8 @@ both engines have the same numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,27 @@ from sunfleet.operators.align import densify, median_readings
 WINDOW, LEAST = 240, 40
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries over the same files read several times, kept until other files are read or release() is
+    called. It also cuts plans, which would hold its own for each time it is read."""
+    key = (spark.sparkContext.applicationId, id(spark), d, name)
+    if key not in _KEPT:
+        release(but=key[:3])
+        _KEPT[key] = make().persist()
+    return _KEPT[key]
+
+
+def release(but: tuple = ()) -> None:
+    """Frees what kept() keeps, but for the tables of an application, session and folder."""
+    for key in [k for k in _KEPT if k[:3] != but]:
+        df = _KEPT.pop(key)
+        if df.sparkSession.sparkContext._jsc is not None and key[0] == df.sparkSession.sparkContext.applicationId:
+            df.unpersist()
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 

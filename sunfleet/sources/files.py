@@ -69,6 +69,15 @@ def read_readings(spark: SparkSession, folder: str, year: int, upns: list[str] |
     return out
 
 
+def skipped_files(spark: SparkSession, folder: str, year: int) -> DataFrame:
+    """file, n_rows, n_bad: the files that read_readings() leaves out, with their rows and those with a time of another form."""
+    paths = _exists(spark, f"{folder}/{year}_UPN_*.csv")
+    if not paths:
+        raise FileNotFoundError(f"{folder}: no {year}_UPN_*.csv")
+    raw = spark.read.schema(READING).option("header", True).option("ignoreCorruptFiles", True).csv(paths).select(F.col("_metadata.file_name").alias("file"), lenient_time("date").alias("time"))
+    return raw.groupBy("file").agg(F.count("*").alias("n_rows"), F.count_if(F.col("time").isNull()).alias("n_bad")).where("n_bad > 0")
+
+
 def read_table(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
     """A CSV registry with a header; only `columns` are parsed."""
     df = nan_to_null(spark.read.schema(schema).option("header", True).csv(path))

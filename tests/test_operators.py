@@ -11,7 +11,7 @@ from sunfleet.functions.rolling import Rolling
 from sunfleet.functions.scalar import bucket, clip, dilation, haversine_km, linspace, nan_to_null, pad_left, softmax_top
 from sunfleet.operators import align, conformal, continual, diagnose, evaluate, features, forecast, graph, learn, quality, quantiles
 from sunfleet.sources import files
-from sunfleet.sources.synthetic import synthetic_arrays, synthetic_fleet
+from sunfleet.sources.synthetic import normal, synthetic_fleet
 
 RNG = np.random.default_rng(0)
 
@@ -85,10 +85,23 @@ def test_shrinking_never_lowers_what_is_under_the_centre(spark):
 
 
 def test_synthetic_faults(spark):
-    df = synthetic_arrays()
-    by = df.groupby("plant").energia.sum()
-    assert len(df) == 175_200 and by[1] < 0.8 * by[7]
-    assert synthetic_fleet(spark).count() == 175_200
+    df = synthetic_fleet(spark).cache()
+    by = {r.plant: r.e for r in df.groupBy("plant").agg(F.sum("energia").alias("e")).collect()}
+    assert df.count() == 175_200 and by[1] < 0.8 * by[7]
+    cloud = {r.plant: r.e for r in df.where("t_idx BETWEEN 6000 AND 6499").groupBy("plant").agg(F.sum("energia").alias("e")).collect()}
+    assert all(cloud[k] < 0.3 * cloud[9] for k in (2, 3, 4, 5))
+    one = df.where("poa > 1 AND plant = 9").agg(F.min("time"), F.max("time"), F.min("eta_seed"), F.max("eta_seed"), F.min("wind")).first()
+    assert (one[0].hour, one[1].hour) == (7, 17) and 0.75 <= one[2] == one[3] <= 0.85 and one[4] >= 0
+    again = synthetic_fleet(spark).repartition(7, "t_idx")
+    assert df.exceptAll(again).count() == 0 and synthetic_fleet(spark, plants=3, hours=5).count() == 15
+    noise = spark.range(20000).select(normal(1, "x", F.col("id")).alias("z")).agg(F.avg("z"), F.stddev("z")).first()
+    assert abs(noise[0]) < 0.03 and abs(noise[1] - 1) < 0.03
+
+
+def test_noise_is_multiplicative(spark):
+    df = spark.range(20000).select(F.lit(2.0).alias("temp_z"), F.lit(0.0).alias("poa_z"), F.lit(None).cast("double").alias("wind_z"))
+    one = features.with_noise(df).agg(F.avg("temp_z"), F.stddev("temp_z"), F.max("poa_z"), F.count("wind_z")).first()
+    assert abs(one[0] - 2) < 0.01 and abs(one[1] - 0.1) < 0.01 and one[2] == 0.0 and one[3] == 0
 
 
 def test_nearest_joins(spark):
@@ -287,6 +300,42 @@ def test_forecaster(spark, tmp_path):
         forecast.Forecaster(channels=3, length=8, width=8, heads=2, graph=8).load(spark, str(tmp_path / "weights"))
 
 
+def test_forecaster_learns(spark):
+    from sunfleet.streaming import monitor
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for t in range(120):
+        level = rng.random()
+        for p in range(6):
+            rows.append((p, t, [[level, 0.3 * p] for _ in range(8)], 1.0, 0.8 * level, 0.6 * level + 0.02 * p, 0.75))
+    samples = spark.createDataFrame(rows, "plant int, t_idx int, x array<array<double>>, ghi_cs double, y_ghi double, y_pv double, eta double")
+    edges = spark.createDataFrame([(i, (i + 1) % 6, 1.0) for i in range(6)], "src int, dst int, weight double")
+    model = forecast.Forecaster(channels=2, length=8, width=8, heads=2, graph=16, layers=1)
+    held = model.sampled(samples.where("t_idx % 5 = 4"), edges)
+    # gradients against differences
+    few = {k: v[:20] for k, v in held.items()}
+    for name, g in model._gradients(few, 0.1, 0.25).items():
+        for at in [(0,) * g.ndim, tuple(n - 1 for n in g.shape)]:
+            x, up = model.w[name].copy(), []
+            for e in (1e-5, -1e-5):
+                model.w[name] = x.copy()
+                model.w[name][at] += e
+                up.append(model.loss_of(few))
+            model.w[name] = x
+            assert abs((up[0] - up[1]) / 2e-5 - g[at]) < 1e-5
+    before = model.loss_of(held)
+    history = model.train(samples.where("t_idx % 5 < 4"), samples.where("t_idx % 5 = 4"), edges, epochs=30)
+    assert model.loss_of(held) == min(h["val_loss"] for h in history) < 0.2 * before
+    spread = float(np.var([r[5] for r in rows]))
+    out = model.score(samples, edges).join(samples, ["plant", "t_idx"]).agg(F.avg(F.pow(F.col("pred_pv") - F.col("y_pv"), 2))).first()[0]
+    assert out < 0.5 * spread
+    again = forecast.Forecaster(channels=2, length=8, width=8, heads=2, graph=16, layers=1)
+    done = monitor.run_online(samples, lambda part, t: {"action": "retrain_triggered"}, 60, 40, again.retrainer(lambda part: part, edges))
+    assert len(done) == 2 and all(h["loss_after"] < h["loss_before"] for h in done)
+    assert np.isnan(model.loss_of(model.sampled(samples.limit(0), edges)))
+
+
 def test_sources(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.read_readings(spark, str(tmp_path), 2019)
@@ -294,6 +343,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "2019_UPN_0456_01.csv").write_text("date,ENERGIA\nbad,2\n")
     rows = files.read_readings(spark, str(tmp_path), 2019).collect()
     assert {(r.upn, r.time, r.energia) for r in rows} == {("UPN_0123_01", dt.datetime(2019, 1, 3, 5), 1.5), ("UPN_0123_01", dt.datetime(2019, 1, 3, 5), None)}
+    assert [tuple(r) for r in files.skipped_files(spark, str(tmp_path), 2019).collect()] == [("2019_UPN_0456_01.csv", 1, 1)]
     with pytest.raises(ValueError):
         files.read_readings(spark, str(tmp_path), 2019, upns=["UPN_9_01"])
     with pytest.raises(Exception):
