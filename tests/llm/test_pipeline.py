@@ -30,3 +30,20 @@ def test_stages_catch_planted_cases_and_keep_clean_rows(spark, tmp_path):
     packed = corpus_pipeline.run(spark, d)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept[2]
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id string, __gone int"
+    long = " ".join(f"w{i % 977}" for i in range(30000))
+    rows = [(1, None), (2, ""), (3, " \t"), (None, "a row without an id of its own"), (None, "a row without an id of its own"), (4, long), (4, long), (5, "x" * 40000), (6, "one two")]
+    docs = spark.createDataFrame([(i, t, None, None, None, 0.5, "clash", 1) for i, t in rows], schema)
+    spark.createDataFrame([(4, 0, 0), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (7, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, docs.limit(0)):
+        now = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == table.columns
+            assert now.count() == table.count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+        assert len({(r.doc_id, r.start, r.ids_crc32) for r in packed}) <= len(packed) and {r.doc_id for r in packed} == {r.doc_id for r in table.collect()}

@@ -242,6 +242,55 @@ def test_packing_exchanges_between_partitions(spark):
     assert len(fill) < alone and len(fill) <= packing.lower_bound(n, 1024) * 1.01
 
 
+def test_very_long_words_and_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    odd = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    even = "".join("ab"[i.bit_count() & 1 ^ 1] for i in range(2048))
+    tail = " t1 t2 t3 t4 t5 t6 t7 t8 t9 t10"
+    rows = [(i, t) for i, t in enumerate([odd + tail, even + tail, odd, even, " ".join([odd] * 3 + [even] * 3), LONG * 3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in neardup.near_duplicates(df, 85).collect()}
+    assert found[2].component_id == 2 and found[3].component_id == 3
+    sets = [shingles(t) for _, t in rows]
+    assert [found[i].n_shingles for i, _ in rows] == [len(s) for s in sets]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    known = {w for t in train for w in t.split()} | {None}
+    for r in lm.lm_scores(df).collect():
+        words = rows[r.doc_id][1].split()
+        assert (r.n_tokens, r.n_known) == (len(words) + 1, sum(w in known for w in words) + 1)
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counts = {r.doc_id: r.n_tokens for r in tokencounts.token_counts(df).collect()}
+    packed = packing.pack_documents(df).collect()
+    for i, t in rows:
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert counts[i] == len(ids) - 1
+        for r in (r for r in packed if r.doc_id == i):
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
+def test_fingerprints_are_those_of_a_plain_transform(spark):
+    text = " ".join(f"{chr(97 + i * 7 % 26)}{i * i % 101}" for i in range(120))
+    n, payload = media.payload_of(text)
+    x = np.frombuffer(payload, np.uint8).astype(float) - 128
+    frames = 1 + max(0, -(-(len(x) - media.FRAME) // media.HOP))
+    x = np.concatenate([x, np.zeros((frames - 1) * media.HOP + media.FRAME - len(x))])
+    peaks = []
+    for f in range(frames):
+        part = x[f * media.HOP : f * media.HOP + media.FRAME]
+        part = (part - part.mean()) * np.hanning(media.FRAME)
+        power = [abs(sum(v * np.exp(-2j * np.pi * k * np.arange(media.FRAME) / media.FRAME)[i] for i, v in enumerate(part))) for k in range(media.FRAME // 2 + 1)] if f == 0 else np.abs(np.fft.rfft(part))
+        tops = sorted((-power[k], k) for k in range(1, media.FRAME // 2) if power[k] > power[k - 1] and power[k] >= power[k + 1])
+        peaks += [(f, k) for _, k in tops[: media.PEAKS]]
+    pairs = []
+    for i, (f, k) in enumerate(peaks):
+        later = [q for q in peaks if q[0] > f][: media.FAN]
+        pairs += [(f, k << 16 | b << 8 | g - f) for g, b in later if g - f <= media.REACH]
+    t, c = media.landmarks(payload)
+    assert list(zip(t.tolist(), c.tolist(), strict=True)) == sorted(pairs) and len(pairs) >= 10
+
+
 def test_lm_scores(spark):
     texts = [(i, " ".join(["The" if x == "w1" else x for x in sentence(30).split()])) for i in range(60)] + [(60, None), (61, ""), (62, "never seen"), (5, "x y"), (None, "z")]
     for tokens_ in ((10**6, 10**6), (2000, 200), (2000, 60, 4), (500, 40, 3)):
