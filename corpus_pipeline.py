@@ -1,4 +1,9 @@
-"""Toxicity filter, near-duplicate removal, benchmark decontamination and packing, each over all that the last one kept."""
+"""Toxicity filter, near-duplicate removal, benchmark decontamination and packing, each over all that the last one kept.
+
+All stages but the last keep the columns of documents, extra ones too. Rows with a null doc_id stay (they have no label and are
+copies of nothing) unless the classifier or an item rejects their text; null and empty texts are empty texts and stay;
+rows of one doc_id stay or go together as near duplicates; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
