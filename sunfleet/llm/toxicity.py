@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, features: i
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     picked = learned_rows(texts.drop("text"), labels).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(rows)
-    sample = texts.join(picked, ["doc_id", "key"])
+    sample = texts.join(F.broadcast(picked), ["doc_id", "key"])  # `rows` rows of 20 bytes at most
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found, offsets in feature_batches(batches):
