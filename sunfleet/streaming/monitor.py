@@ -48,15 +48,14 @@ def drift_stream(stream: DataFrame, key: str = "plant", order: str = "ts", value
     kind = stream.schema[key].dataType.simpleString()
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, n = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        held, n = (np.array(state.get[0], float), state.get[1]) if state.exists else (np.zeros(0), 0)
         rows = pd.concat(list(frames)).sort_values(order)[value].to_numpy(float)
         rows = rows[~np.isnan(rows)]
-        found = False
-        for v in rows.tolist():
-            held = [*held, v][-2 * half :]
-            n += 1
-            found = found or ks_drifts(np.array(held), half, p)
-        state.update((held, n))
+        # the test after each value is of the 2 * half values up to it
+        every = np.concatenate([held, rows])
+        found = any(ks_drifts(every[max(0, end - 2 * half) : end], half, p) for end in range(len(held) + 1, len(every) + 1))
+        state.update((every[-2 * half :].tolist(), n + len(rows)))
+        n += len(rows)
         yield pd.DataFrame({key: [k[0]], "n": [n], "drift": [found]})
 
     rows = stream.select(key, order, F.col(value).cast("double").alias(value))
