@@ -52,8 +52,9 @@ def plant_scales(cube: DataFrame, eps: float = EPS) -> DataFrame:
     return with_scales(cube.select(*columns), eps).groupBy("plant").agg(*[F.first(c).alias(c) for c in scales])
 
 
-def quality(cube: DataFrame, window: int = 720, least: int | None = None, eps: float = EPS) -> DataFrame:
-    """cube (plant, t_idx, time, energia, poa, temp on the dense grid) with m1 to m5, capacity_scale and qs.
+def quality(cube: DataFrame, window: int = 720, least: int | None = None, eps: float = EPS, scales: DataFrame | None = None) -> DataFrame:
+    """cube (plant, t_idx, time, energia, poa, temp on the dense grid) with m1 to m5, capacity_scale and qs. The scales are the
+    cube's own, or those given as by plant_scales(), a row for each plant.
 
     Windows are of rows; a component needs `least` valid rows (a quarter of the window, at least 10), completeness one. All
     five share one shuffle by plant. m1, m2, m4 and m5 are shown by day only.
@@ -61,7 +62,7 @@ def quality(cube: DataFrame, window: int = 720, least: int | None = None, eps: f
     least = max(window // 4, 10) if least is None else least
     # one shuffle and one sort, whose order all windows use
     sorted_ = cube.select("plant", "t_idx", "time", "energia", "poa", "temp", *[c for c in ("eta_seed",) if c in cube.columns]).repartition("plant").sortWithinPartitions("plant", "t_idx")
-    df = with_scales(sorted_, eps)
+    df = with_scales(sorted_, eps) if scales is None else sorted_.join(scales, "plant")
     raw = F.col("poa") / 1000.0
     df = df.withColumns({"day": true(raw > DAY_KW), "dark": true(raw < eps), "ref": raw * F.col("capacity_scale")})
     df = df.withColumns({"r": F.when(F.col("day"), F.col("energia")), "v": F.when(F.col("day"), F.col("ref"))})

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sunfleet.operators.diagnose import HALF, P_DRIFT, ks_drifts
+from sunfleet.operators.quality import quality
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1, pattern: str = "*.parquet") -> DataFrame:
@@ -62,6 +63,27 @@ def drift_stream(stream: DataFrame, key: str = "plant", order: str = "ts", value
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, drift boolean", "held array<double>, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def score_stream(stream: DataFrame, scales: DataFrame, path: str, checkpoint: str, window: int = 720, least: int | None = None) -> None:
+    """Scores all that is there of a stream of cube rows (plant, t_idx, time, energia, poa, temp; each plant's in order), batch by
+    batch, into <path>/scores; equal to quality() over the whole cube with these scales.
+
+    What a window reaches back to, the last window - 1 rows of each plant, is kept beside the scores, one folder for each
+    batch: a batch that runs again reads the rows of the one before it and writes its own folders anew.
+    """
+    columns = ["plant", "t_idx", "time", "energia", "poa", "temp"]
+
+    def each(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(*columns, F.lit(True).alias("new"))
+        rows = new if k == 0 else new.unionByName(spark.read.parquet(f"{path}/history/{k - 1}").select(*columns, F.lit(False).alias("new")))
+        scored = quality(rows.select(*columns), window, least, scales=scales)
+        scored.join(new.select("plant", "t_idx"), ["plant", "t_idx"], "left_semi").write.mode("overwrite").parquet(f"{path}/scores/batch={k}")
+        last = F.row_number().over(Window.partitionBy("plant").orderBy(F.desc("t_idx")))
+        rows.withColumn("k", last).where(F.col("k") < window).select(*columns).write.mode("overwrite").parquet(f"{path}/history/{k}")
+
+    run_available(stream, checkpoint, each)
+
+
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Handles all that is there, batch by batch, and ends; progress is kept in `checkpoint`."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
