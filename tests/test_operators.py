@@ -459,3 +459,18 @@ def test_labelled_windows(spark):
     thinned = learn.undersampled(learn.labelled_windows(df, "cause", 20, 10), factor=1, least=2).collect()
     faults = sum(label == "fault" for _, label in expect.values())
     assert sum(r.label == "fault" for r in thinned) == faults and sum(r.label == "normal" for r in thinned) == max(faults, 2) < len(expect) - faults
+
+
+def test_rounded_places_are_those_of_the_binary_product(spark):
+    # 8.55 * 10 is the tie 85.5 and 8.45 * 10 is 84.5, but 1.005 * 100 is 100.49999999999999, no tie; NULLs match nothing
+    x = [8.35, 8.45, 8.55, 8.65, 9.15, 1.15, -7.85, 0.0, None]
+    points = spark.createDataFrame([(i, v, 1.0) for i, v in enumerate(x)], "plant int, lat double, lon double")
+    sites = spark.createDataFrame([(i, float(np.round(v, 1)), 1.0) for i, v in enumerate(x) if v is not None], "location int, lat double, lon double")
+    found = {(r.plant, r.location) for r in align.same_place(points, sites, 1).collect()}
+    rounded = [None if v is None else float(np.round(v, 1)) for v in x]
+    assert found == {(i, j) for i, v in enumerate(rounded) for j, w in enumerate(rounded) if v is not None and v == w} | {(8, None)}
+    three = [k / 1000 for k in range(0, 4000, 5)]
+    points = spark.createDataFrame([(i, v, 1.0) for i, v in enumerate(three)], "plant int, lat double, lon double")
+    sites = spark.createDataFrame([(i, i / 100, 1.0) for i in range(401)], "location int, lat double, lon double")
+    found = {r.plant: r.location for r in align.same_place(points, sites, 2).collect()}
+    assert found == {i: int(np.rint(v * 100)) for i, v in enumerate(three)}
