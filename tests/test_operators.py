@@ -474,3 +474,12 @@ def test_rounded_places_are_those_of_the_binary_product(spark):
     sites = spark.createDataFrame([(i, i / 100, 1.0) for i in range(401)], "location int, lat double, lon double")
     found = {r.plant: r.location for r in align.same_place(points, sites, 2).collect()}
     assert found == {i: int(np.rint(v * 100)) for i, v in enumerate(three)}
+
+
+def test_a_covariance_of_zero_is_no_rounding_noise(spark):
+    # a rising and a symmetric series: their covariance is 0 in every whole period
+    rows = [(1, t, 0.1 * (t % 5) + 0.7, 0.3 * abs(t % 5 - 2) + 11.1) for t in range(200)]
+    df = spark.createDataFrame(rows, "plant int, t_idx int, x double, y double")
+    roll = Rolling("plant", "t_idx", 40)
+    found = [r.r for r in roll.apply(df, r=roll.corr(F.col("x"), F.col("y"), 40)).orderBy("t_idx").collect()]
+    assert found[:39] == [None] * 39 and set(found[39:]) == {0.0}
