@@ -483,3 +483,14 @@ def test_a_covariance_of_zero_is_no_rounding_noise(spark):
     roll = Rolling("plant", "t_idx", 40)
     found = [r.r for r in roll.apply(df, r=roll.corr(F.col("x"), F.col("y"), 40)).orderBy("t_idx").collect()]
     assert found[:39] == [None] * 39 and set(found[39:]) == {0.0}
+
+
+def test_distances_are_those_of_places(spark):
+    # 300 plants at 6 places, of which two are further off, some rows without coordinates
+    spots = [(44.0, 8.0), (44.1, 8.1), (44.2, 8.0), (44.0, 8.3), (50.0, 8.0), (50.1, 8.0)]
+    df = spark.createDataFrame([(i, *spots[i % 6]) for i in range(300)] + [(300, None, 8.0)], "plant int, lat double, lon double")
+    assert graph.place_edges(df, 40.0).count() == 4 * 4 + 2 * 2
+    edges = graph.distance_graph(df, 40.0)
+    found = edges.toPandas()
+    assert set(zip(found["src"], found["dst"], strict=True)) == {(a, b) for a in range(300) for b in range(300) if a != b and (a % 6 < 4) == (b % 6 < 4)}
+    assert len(found) == 200 * 199 + 100 * 99 and (found.loc[found["src"] % 6 == found["dst"] % 6, "dist_km"] == 0).all()
