@@ -494,3 +494,8 @@ def test_distances_are_those_of_places(spark):
     found = edges.toPandas()
     assert set(zip(found["src"], found["dst"], strict=True)) == {(a, b) for a in range(300) for b in range(300) if a != b and (a % 6 < 4) == (b % 6 < 4)}
     assert len(found) == 200 * 199 + 100 * 99 and (found.loc[found["src"] % 6 == found["dst"] % 6, "dist_km"] == 0).all()
+    told = df.withColumns({"score": (F.col("plant") % 7 - 3).cast("double"), "value": (F.col("plant") % 11).cast("double")})
+    own = edges.where("dist_km > 0").join(told.select(F.col("plant").alias("src"), "score", "value"), "src")
+    plain = {r.dst: r.message for r in graph.attention(own, "score", "value").collect()}
+    by_place = {r.plant: r.message for r in graph.place_attention(told, graph.place_edges(df, 40.0), "score", "value").collect()}
+    assert by_place.keys() == plain.keys() and all(abs(by_place[k] - plain[k]) < 1e-9 for k in plain)
