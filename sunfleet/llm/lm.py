@@ -40,6 +40,8 @@ MU2, MU3 = 500.0, 20.0
 CHUNK_BYTES, SHARD_TOKENS = 4 << 20, 1_000_000
 #: Blocks that a chunk, or a group of shards, sends at most.
 FAN = 1024
+#: Bigrams, or trigrams, that are looked up at once.
+LOOKUPS = 1 << 16
 #: Chunks, or shards, that a task works on one after another.
 GROUPS_OF_TASK = 8
 #: Words that are broadcast at most, with 20 bytes each; the code after the last one announces a hash.
@@ -214,33 +216,58 @@ def chunk_levels(words: Words, held_out: np.ndarray, book: Codebook) -> tuple[Le
     return levels, {"starts": starts, "is_token": is_token, "one_of": one_of, "two_of": two_of, "three_of": three_of, "n_tokens": n_tokens}
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and each key's place among them, as np.unique() has them, in half of its memory."""
+    order = np.argsort(keys).astype(np.uint32)
+    ordered = keys[order]
+    first = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    own = ordered[first]
+    del ordered
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return own, at
+
+
 class Merged:
     """The n-grams of several blocks as one, and for each block where its own are."""
 
     def __init__(self, blobs: list[bytes], book: Codebook):
         asked = [unpack_arrays(b) for b in blobs]
         sizes = np.array([[len(a[4]), len(a[6]), len(a[8])] for a in asked], np.int64).reshape(-1, 3)
-        join = lambda k: np.concatenate([np.zeros(0, np.int64), *[a[k].astype(np.int64) for a in asked]])
-        # hashes that are not in the codebook have the numbers from CODEBOOK on
-        others, at = np.unique(np.concatenate([np.zeros(0, _U), *[a[3].astype(_U) for a in asked]]), return_inverse=True)
-        number = join(0) | join(1) << 8 | join(2) << 16
-        number[number == CODEBOOK] = CODEBOOK + at
-        kind = np.repeat(np.tile(np.arange(3), len(asked)), sizes.ravel())
+        join = lambda k, kind: np.concatenate([np.zeros(0, kind), *[a[k] for a in asked]], dtype=kind)
+        # hashes that are not in the codebook have the numbers from CODEBOOK on; an n-gram's number takes 4 bytes, as there are a
+        # few millions in a group of blocks, and what is no longer asked for is dropped at once: a worker's memory is made of these
+        others, at = distinct(join(3, _U))
+        number = join(2, np.uint32)
+        number <<= 8
+        number |= join(1, np.uint32)
+        number <<= 8
+        number |= join(0, np.uint32)
+        number[number == CODEBOOK] = CODEBOOK + at.astype(np.uint32)
+        kind = np.repeat(np.tile(np.arange(3, dtype=np.int8), len(asked)), sizes.ravel())
+        level_of = [number[kind == level] for level in range(3)]
+        del number, kind, at
+        for a in asked:  # codes and hashes
+            a[:4] = [None] * 4
         self.width = CODEBOOK + len(others) + 1
         words = np.zeros(self.width, _U)
         words[: len(book.words)] = book.words
         words[CODEBOOK:-1] = others
         merged, self.where, above = [], [], None
         for level, (of, n) in enumerate(((None, 4), (5, 6), (7, 8))):
-            key = number[kind == level].astype(_U)
+            key, level_of[level] = level_of[level].astype(_U), None
             if of is not None:
-                key += np.repeat(above, join(of)).astype(_U) * _U(self.width)
-            distinct, at = np.unique(key, return_inverse=True)
-            total = np.bincount(at, join(n), minlength=len(distinct)).astype(np.int64)
-            word = (distinct % _U(self.width)).astype(np.int64)
-            merged.append((word, total) if of is None else ((distinct // _U(self.width)).astype(np.int64), word, total))
-            self.where.append(np.split(at, np.cumsum(sizes[:-1, level])) if len(asked) else [])
-            above = at
+                up = np.repeat(above, join(of, np.int64)).astype(_U)
+                up *= _U(self.width)
+                key += up
+                del up
+            own, above = distinct(key)
+            del key
+            total = np.bincount(above, join(n, np.float64), minlength=len(own)).astype(np.int64)
+            word = (own % _U(self.width)).astype(np.int64)
+            merged.append((word, total) if of is None else ((own // _U(self.width)).astype(np.int64), word, total))
+            self.where.append(np.split(above, np.cumsum(sizes[:-1, level])) if len(asked) else [])
         self.levels = Levels(words, np.minimum(np.arange(self.width), CODEBOOK), *merged)
 
     def replies(self, count: np.ndarray, code2: np.ndarray, code3: np.ndarray) -> list[bytes]:
@@ -267,12 +294,19 @@ def answers(blobs: list[bytes], book: Codebook) -> list[bytes]:
     new1, new2 = np.cumsum(keep1) - 1, np.cumsum(keep2) - 1
     level2 = (new1[x.parent2[keep2]], x.word2[keep2], x.n2[keep2] / (context[x.parent2[keep2]] + MU2))
     trie = Trie(merged.width, x.root[keep1], x.n1[keep1], [level2, (new2[x.parent3[keep3]], x.word3[keep3], share[keep3])])
+    del level2, share, away, keep3, keep2, keep1, new1, new2
     # each distinct n-gram is looked up once, for all blocks that ask for it
     node1 = trie.root(x.root)
-    node2 = trie.child(1, node1[x.parent2], x.word2)
-    node3 = trie.child(2, node2[x.parent3], x.word3)
     count = np.where(node1 >= 0, trie.counts[np.maximum(node1, 0)], 0) if len(trie.counts) else np.zeros(len(node1), np.int64)
-    return merged.replies(count, trie.code(1, node2), trie.code(2, node3))
+    node2, code2, code3 = np.zeros(len(x.word2), np.int64), np.zeros(len(x.word2), np.uint16), np.zeros(len(x.word3), np.uint16)
+    for at in range(0, len(node2), LOOKUPS):
+        part = slice(at, at + LOOKUPS)
+        node2[part] = trie.child(1, node1[x.parent2[part]], x.word2[part])
+        code2[part] = trie.code(1, node2[part])
+    for at in range(0, len(code3), LOOKUPS):
+        part = slice(at, at + LOOKUPS)
+        code3[part] = trie.code(2, trie.child(2, node2[x.parent3[part]], x.word3[part]))
+    return merged.replies(count, code2, code3)
 
 
 def marked(docs: DataFrame) -> DataFrame:

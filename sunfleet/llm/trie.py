@@ -73,14 +73,15 @@ class EliasFano:
         top = int(values[-1]) + 1 if n else 1
         low = max(0, (top // max(n, 1)).bit_length() - 1)
         lows = np.zeros(n * low // 64 + 2, _U)
-        if low and n:
-            bit = np.arange(n, dtype=_U) * _U(low)
-            part = values & _U((1 << low) - 1)
+        for at in range(0, n if low else 0, 1 << 16):  # piecewise, as each step has arrays of its own
+            part = values[at : at + (1 << 16)] & _U((1 << low) - 1)
+            bit = np.arange(at, at + len(part), dtype=_U) * _U(low)
             word, shift = (bit >> _U(6)).astype(np.int64), bit & _U(63)
             np.bitwise_or.at(lows, word, part << shift)
             over = shift + _U(low) > _U(64)
             np.bitwise_or.at(lows, word[over] + 1, part[over] >> (_U(64) - shift[over]))
-        ones = (values >> _U(low)).astype(np.int64) + np.arange(n)
+        ones = (values >> _U(low)).astype(np.int64)
+        ones += np.arange(n)
         flags = np.zeros(((int(ones[-1]) if n else 0) // 64 + 2) * 64, np.uint8)
         flags[ones] = 1
         highs = np.packbits(flags, bitorder="little").view(_U)

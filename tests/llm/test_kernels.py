@@ -273,3 +273,28 @@ def test_sample_is_the_longest_run_of_ranks(order, most):
 
 def test_crc_rule_is_zlibs():
     assert zlib.crc32(b"12") % 3 in (0, 1, 2)
+
+
+def test_a_shard_answers_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 30_000, 20_000)) for _ in range(8)], pa.large_string())
+    seen, counts = np.unique(lm.words_of(texts).hashes, return_counts=True)
+    book = lm.Codebook(np.append(seen[:5000], lm.BEGIN), np.append(counts[:5000], 8), 160_008, len(seen) + 1, 8, 1)
+    blobs = []
+    for i in range(8):
+        levels, _ = lm.chunk_levels(lm.words_of(texts.slice(i, 1)), np.array([i == 2]), book)
+        blobs += [levels.request(p) for p in levels.dealt(book, 1)]
+    tracemalloc.start()
+    lm.answers(blobs, book)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 140 * 320_000  # bytes for each bigram and trigram that is asked for
+
+
+def test_distinct_keys_are_those_of_unique():
+    keys = np.random.default_rng(6).integers(0, 50, 1000).astype(np.uint64)
+    for x in (keys, keys[:0]):
+        own, at = lm.distinct(x)
+        assert (own == np.unique(x)).all() and (own[at] == x).all()
