@@ -1,6 +1,7 @@
 """Unit fixtures with answers by hand or by pandas."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pandas as pd
@@ -393,6 +394,26 @@ def test_soft_dtw_is_the_sum_over_all_alignments():
         assert abs(distance + gamma * np.log(weights.sum())) < 1e-9 and np.allclose(alignment, expect)
 
 
+def test_clusters_are_fitted_by_executors(spark, monkeypatch):
+    driver, real = os.getpid(), learn.soft_dtw_many
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return real(*args)
+
+    x = np.random.default_rng(5).normal(size=(30, 12)) + np.repeat([0.0, 3.0, 6.0], 10)[:, None] * np.sin(np.arange(12))
+    for a, b, gamma in [(x[0], x[1:], 1.0), (x[0, :5], x[1:, :9], 0.7), (x[0, :1], x[1:4], 1.0), (x[0], x[1:2, :1], 2.0)]:
+        shares = real(a, b, gamma)[1]
+        assert np.allclose(learn.pulls(a, b, gamma), [shares.sum(axis=(0, 2)), np.einsum("sij,sj->i", shares, b)])
+    monkeypatch.setattr(learn, "TABLE", 5 * 14**2)
+    alone = learn.TrajectoryClusters(3).fit(x)
+    monkeypatch.setattr(learn, "soft_dtw_many", elsewhere)
+    matrix = spark.createDataFrame([(p, w, float(x[p, w])) for p in range(30) for w in range(12)], "plant int, week int, imputed double")
+    together = learn.TrajectoryClusters(3).fit(x, spark)
+    assert np.array_equal(alone.labels, together.labels) and np.array_equal(alone.centres, together.centres)
+    assert learn.weekly_clusters(matrix, 3).count() == 30
+
+
 def test_trajectory_clusters_use_whole_series(spark, tmp_path):
     from sunfleet.plans.quality import trajectory_clusters
 
