@@ -301,6 +301,38 @@ def test_forecaster(spark, tmp_path):
         forecast.Forecaster(channels=3, length=8, width=8, heads=2, graph=8).load(spark, str(tmp_path / "weights"))
 
 
+def fleet_of_rows(spark, plants=5, times=40):
+    rng = np.random.default_rng(8)
+    values = rng.normal(size=(plants, times, 5)).round(1)
+    values[..., 2] = 0.5  # a channel that says nothing
+    rows = [(p, t, *map(float, values[p, t]), None if (p + t) % 7 == 0 else float(t % 5), float(values[p, max(t - 2, 0), 0] + 0.1 * p), 0.8) for p in range(plants) for t in range(times) if (p, t) != (3, 17) and (p < 4 or t < 9)]
+    return spark.createDataFrame(rows, "plant int, t_idx int, a double, b double, c double, y_ghi double, z double, ghi_cs double, y_pv double, eta double")
+
+
+def test_forecasts_make_no_windows(spark, monkeypatch):
+    rows, edges = fleet_of_rows(spark).repartition(3), spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 1, 0.5), (4, 0, 2.0), (8, 0, 2.0)], "src int, dst int, weight double")
+    model = forecast.Forecaster(channels=3, length=8, width=8, heads=2, graph=8)
+    samples = features.lag_windows(rows, 8, ("a", "b", "z"))
+    encoded = model.encoded(rows, 39, ("a", "b", "z"), 8)
+    for by in (features.lag_windows(rows, 8, ("a", "b", "z")), encoded):
+        assert by.groupBy("plant").count().where("plant = 4").first()["count"] == 1
+    whole, found = ({(r.plant, r.t_idx): (r.pred_ghi, r.pred_pv) for r in model.score(s.na.fill(0.0, ["ghi_cs"]), edges).collect()} for s in (samples, encoded))
+    assert whole.keys() == found.keys() and len(whole) == 4 * 31 and all(np.allclose(whole[k], found[k], atol=1e-12) for k in whole)
+    a, b = (model.sampled(s, edges, 20) for s in (samples, encoded))
+    assert all(np.allclose(a[k], b[k]) for k in a) and len(a["h"]) == len(b["h"]) > 0
+    # attention in parts of a few edges, and by definition
+    h, src, dst, weight = np.random.default_rng(2).normal(size=(6, 8)), np.array([1, 2, 0, 5, 3]), np.array([0, 0, 2, 2, 4]), np.array([1.0, 0.5, 3.0, 2.0, 1.0])
+    m, w = model._dense("g0", h).reshape(6, 2, 4), model.w["g0.attn"][:, 0]
+    expect = np.zeros((6, 2, 4))
+    for n in range(6):
+        e = {k: forecast.leaky(np.concatenate([m[src[k]], m[n]], axis=-1) @ w) * np.log1p(weight[k]) for k in np.flatnonzero(dst == n)}
+        for k in e:
+            expect[n] += m[src[k]] * (np.exp(e[k]) / sum(np.exp(v) for v in e.values()))[:, None]
+    for most in (1, 3, 4096):
+        monkeypatch.setattr(forecast, "ATTENDED", most)
+        assert np.allclose(model.attend(0, h, src, dst, weight), forecast.normed(forecast.elu(expect).reshape(6, 8) + h, model.w["g0.n"]))
+
+
 def test_forecaster_learns(spark):
     from sunfleet.streaming import monitor
 
