@@ -333,6 +333,18 @@ def test_forecasts_make_no_windows(spark, monkeypatch):
         assert np.allclose(model.attend(0, h, src, dst, weight), forecast.normed(forecast.elu(expect).reshape(6, 8) + h, model.w["g0.n"]))
 
 
+def test_lag_regression_makes_no_windows(spark):
+    rows = fleet_of_rows(spark, 5, 60).repartition(3)
+    samples = features.lag_windows(rows, 6, ("a", "b", "c", "z"))
+    expect = {(r.plant, r.t_idx): r.pred for r in forecast.fit_regression(samples).transform(forecast.flat(samples)).collect()}
+    model = forecast.LagRegression(("a", "b", "c", "z"), 6)
+    found = {(r.plant, r.t_idx): r.pred for r in model.fit(rows, 59).transform(rows, 59).collect()}
+    assert expect.keys() == found.keys() and all(abs(found[k] - expect[k]) < 1e-9 for k in expect)
+    assert model.fit(rows.where("y_pv = 0"), 59).transform(rows.limit(0), 59).count() == 0
+    with pytest.raises(ValueError):
+        model.fit(rows.withColumn("a", F.lit(None)), 59)
+
+
 def test_forecaster_learns(spark):
     from sunfleet.streaming import monitor
 
