@@ -564,3 +564,31 @@ def test_distances_are_those_of_places(spark):
     plain = {r.dst: r.message for r in graph.attention(own, "score", "value").collect()}
     by_place = {r.plant: r.message for r in graph.place_attention(told, graph.place_edges(df, 40.0), "score", "value").collect()}
     assert by_place.keys() == plain.keys() and all(abs(by_place[k] - plain[k]) < 1e-9 for k in plain)
+
+
+def test_weekly_clusters_are_fitted_on_all_plants(spark):
+    x = np.random.default_rng(8).normal(size=(2100, 6)).round(1) + np.arange(2100)[:, None] % 3 * np.sin(np.arange(6))
+    x[7::9] = x[6::9][: len(x[7::9])]
+    df = spark.createDataFrame([(p, w, float(x[p, w])) for p in range(2100) for w in range(6)], "plant int, week int, imputed double")
+    order = [r.plant for r in df.select("plant").distinct().orderBy(F.xxhash64("plant"), "plant").collect()]
+    model = learn.TrajectoryClusters(3, rounds=50)
+    expect = model.fit(x[order]).assign(x)
+    got = {r.plant: r.cluster for r in learn.weekly_clusters(df, 3).collect()}
+    assert got == dict(enumerate(expect.tolist())) and set(got.values()) == {0, 1, 2}
+    assert learn.TrajectoryClusters(3).fit_rows(spark.createDataFrame([], "plant int, series array<double>")).count() == 0
+
+
+def test_soft_dtw_by_sums_is_that_by_logarithms(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = learn.standard(rng.normal(size=(9, 150)) + np.cumsum(rng.normal(size=(9, 150)), axis=1))
+    spikes = learn.standard(np.eye(150)[[0, 75, 149]] * [[19.0], [19.0], [-19.0]])
+    real, asked = learn._log_steps, []
+    monkeypatch.setattr(learn, "_log_steps", lambda *args: (asked.append(len(args[1])), real(*args))[1])
+    for b, gamma in ((x, 1.0), (x, 5.0), (x, 0.05), (np.vstack([x, spikes, 30 * x[:2]]), 1.0)):
+        for a in (x[0], b[-1]):
+            distances, pulled = learn.soft_dtw_many(a, b, gamma, False)[0], learn.pulls(a, b, gamma)
+            with monkeypatch.context() as m:
+                m.setattr(learn, "_soft_steps", real)
+                assert np.allclose(distances, learn.soft_dtw_many(a, b, gamma, False)[0], rtol=1e-10, atol=1e-9)
+                assert np.allclose(pulled, learn.pulls(a, b, gamma), rtol=1e-8, atol=1e-8)
+    assert asked  # what sums can't hold goes by logarithms
