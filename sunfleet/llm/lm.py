@@ -6,9 +6,9 @@ its part of the trie and answers each chunk with quantised probabilities. The ch
 holds more than about a chunk or a shard, whatever the corpus. An n-gram's shard is given by its first word; for frequent
 first words by the first two; and by all three where both are as frequent as a whole shard.
 
-A chunk sends at most FAN blocks: with more shards, the blocks go to groups of shards, are merged there FAN at a time, and
-are dealt on; answers come back the same way. So blocks grow in proportion to the corpus, with a further hop for each
-factor of FAN.
+A chunk sends at most FAN blocks: with more shards, the blocks go to groups of shards, are merged there, and are dealt on;
+answers come back the same way. So blocks grow in proportion to the corpus, with a further hop for each factor of FAN. A
+bundle that is merged has as many blocks as a chunk sends, so that it holds about a chunk.
 
 Words are told apart by 64-bit hashes, in blocks as in the trie: the words of a bounded codebook, the CODEBOOK most frequent
 ones, are sent as 16-bit codes and all others as their hashes.
@@ -378,6 +378,18 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.where("not held_out").select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def hops_of(shards: int, chunks: int, fan: int) -> tuple[list[int], list[int]]:
+    """(steps, bundles): steps[k] shards are one target of the k-th hop, whose senders are bundled in bundles[k]. All hops deal
+    to the same number of targets, `fan` at most, and as many blocks are in a bundle: a block is that part of its sender."""
+    n = 1
+    while fan**n < shards:
+        n += 1
+    even = max(2, round(shards ** (1 / n)))
+    even += even**n < shards
+    steps = [even**k for k in range(n - 1, -1, -1)]
+    return steps, [max(1, chunks // even**k) for k in range(1, n)]
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -409,11 +421,7 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_tokens: int
     shards = max(1, -(-total // shard_tokens))
     keys, counts = np.append(top["word"].to_numpy().view(_U), BEGIN), np.append(top["n"].to_numpy(), ends)
     model = spark.sparkContext.broadcast(Codebook(keys, counts, total, distinct, ends, shards))
-    # steps[k] shards are one target of the k-th hop; its senders are bundled, about `fan` to a bundle
-    steps, bundles = [1], []
-    while -(-shards // steps[0]) > fan:
-        steps.insert(0, steps[0] * fan)
-        bundles.append(max(1, 7 * total // (chunk_bytes * fan ** len(steps[1:]))))
+    steps, bundles = hops_of(shards, 7 * total // chunk_bytes, fan)
     dealt = _over(packed(rows, chunk_bytes), 7 * total // (chunk_bytes * GROUPS_OF_TASK), "chunk")
     block = "target long, source long, blob binary"
 

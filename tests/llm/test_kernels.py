@@ -298,3 +298,17 @@ def test_distinct_keys_are_those_of_unique():
     for x in (keys, keys[:0]):
         own, at = lm.distinct(x)
         assert (own == np.unique(x)).all() and (own[at] == x).all()
+
+
+def test_bundles_of_a_hop_hold_about_a_chunk():
+    from sunfleet.llm.lm import hops_of
+
+    assert hops_of(1024, 1800, 1024) == ([1], [])
+    for shards, chunks, fan in ((1025, 1800, 1024), (1370, 2400, 1024), (10**6, 1_700_000, 1024), (2**20 + 1, 1_800_000, 1024), (50, 90, 3), (7, 20, 4)):
+        steps, bundles = hops_of(shards, chunks, fan)
+        assert steps[-1] == 1 and len(bundles) == len(steps) - 1
+        targets = [-(-shards // steps[0]), *(-(-a // b) for a, b in zip(steps, steps[1:], strict=False))]
+        assert max(targets) <= fan and all(a % b == 0 for a, b in zip(steps, steps[1:], strict=False))
+        for up, n in zip(steps, bundles, strict=False):
+            # a group's share of all n-grams, in chunks
+            assert up / shards / n * chunks < 2.5, (shards, up, n)
